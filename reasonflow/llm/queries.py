@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import pack_documents
+from .substring import substring_digests
 from .tokenbin import token_binary
 
 
@@ -13,6 +14,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(documents(spark, sf_dir), min_words=50)
+
+
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=1)
 
@@ -21,5 +26,22 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op2_token_binary, op8_best_two_fit)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_binary, op8_best_two_fit)}
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": r"""
+        WITH w AS (
+            SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+        win AS (
+            SELECT doc_id, p, array_to_string(ws[p : p + 49], ' ') AS s
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM w WHERE len(ws) >= 50)),
+        first AS (SELECT s, min(doc_id) AS d FROM win GROUP BY s),
+        hit AS (SELECT doc_id, p FROM win JOIN first USING (s) WHERE doc_id > d),
+        word AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS x FROM w),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + 50)) AS i FROM hit),
+        kept AS (
+            SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t, count(*) AS n
+            FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+        SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+               sha256(coalesce(t, '')) AS kept_sha256
+        FROM w LEFT JOIN kept USING (doc_id)""",
+}
