@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .substring import substring_digests
 from .tokenbin import token_binary
@@ -26,7 +28,12 @@ def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024)
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_binary, op8_best_two_fit)}
+def op9_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(documents(spark, sf_dir), shingle=3, percent=85)
+    return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_binary, op8_best_two_fit, op9_setsketch_near_dedup)}
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": r"""
         WITH w AS (
@@ -44,4 +51,24 @@ ORACLES: dict[str, str] = {
         SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
                sha256(coalesce(t, '')) AS kept_sha256
         FROM w LEFT JOIN kept USING (doc_id)""",
+    "op9_setsketch_near_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                   'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        sh AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(ws) < 3 THEN ws ELSE ws[i : i + 2] END AS s
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+        common AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+            FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+        link AS (
+            SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+            WHERE 100 * c >= 85 * (nx.n + ny.n - c)),
+        reach AS (
+            SELECT doc_id AS x, doc_id AS y FROM documents
+            UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y),
+        comp AS (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY x)
+        SELECT c.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
+        FROM comp c LEFT JOIN n USING (doc_id)""",
 }
