@@ -6,8 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .langid import identify
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .quality import quality
 from .substring import substring_digests
 from .tokenbin import token_binary
 
@@ -24,6 +26,11 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=1)
 
 
+def op4_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    return quality(documents(spark, sf_dir), labels)
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024)
 
@@ -33,7 +40,11 @@ def op9_setsketch_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_binary, op8_best_two_fit, op9_setsketch_near_dedup)}
+def op10_script_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_binary, op4_ftrl_quality, op8_best_two_fit, op9_setsketch_near_dedup, op10_script_viterbi_language)}
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": r"""
         WITH w AS (
