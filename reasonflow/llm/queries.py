@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .fingerprints import edited_fingerprints
 from .langid import identify
+from .media import media_columns
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import quality
@@ -31,6 +33,14 @@ def op4_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), labels)
 
 
+def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(documents(spark, sf_dir))
+
+
+def op7_one_permutation_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(documents(spark, sf_dir))
+
+
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024)
 
@@ -44,7 +54,7 @@ def op10_script_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_binary, op4_ftrl_quality, op8_best_two_fit, op9_setsketch_near_dedup, op10_script_viterbi_language)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_binary, op4_ftrl_quality, op6_media_chunks, op7_one_permutation_fingerprints, op8_best_two_fit, op9_setsketch_near_dedup, op10_script_viterbi_language)}
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": r"""
         WITH w AS (
