@@ -113,7 +113,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, i
         part, seen, enc = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(tokenizer)
         for whole in batches:
             for batch in steps(whole, "text"):
-                ids, at = enc.encode([t or "" for t in batch.column("text").to_pylist()], end)
+                ids, at = enc.encode(batch.column("text"), end)
                 n = np.diff(at)
                 first = (n - 1) % capacity + 1  # length of the first piece
                 count = (n - first) // capacity + 1

@@ -47,7 +47,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int, samples: int = 2
 
         blobs = []
         for batch in batches:
-            ids, at = encoder(tokenizer).encode(batch.column("text").to_pylist(), end)
+            ids, at = encoder(tokenizer).encode(batch.column("text"), end)
             blobs += [ids[a:b].astype(dtype).tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
         trained = b""
         if sum(map(len, blobs)) >= 20 * 4096 and len(blobs) >= 64:
@@ -95,7 +95,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int) -> t
                         draft = f"{folder}/.{name}-{uuid.uuid4().hex}"
                         out = to.open_output_stream(draft)
                         out.write(MAGIC + digest)
-                    ids, begin = enc.encode([t or "" for t in batch.column("text").to_pylist()], end)
+                    ids, begin = enc.encode(batch.column("text"), end)
                     for key, a, b in zip(batch.column("doc_id").to_pylist(), begin[:-1].tolist(), begin[1:].tolist(), strict=True):
                         frame = packer.compress(ids[a:b].astype(dtype).tobytes())
                         out.write(frame)

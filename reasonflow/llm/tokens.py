@@ -5,6 +5,9 @@ pre-token in the tokenizers used here, so a text is encoded as the concatenation
 pieces between such spaces; equal pieces are encoded once per worker.  Texts with any
 other kind of spacing around a space are encoded whole.  Results equal the
 tokenizers library's on the whole text.
+
+Pieces are looked up by a 128-bit hash of their bytes in an open-addressing table of
+numpy arrays: no Python object is made for a piece already known.
 """
 
 from __future__ import annotations
@@ -12,88 +15,181 @@ from __future__ import annotations
 import os
 
 import numpy as np
+import pyarrow as pa
+
+from .kernels import U64, codes, mix, powers, utf8
+
+MARK = "\x00"
 
 
 class PieceEncoder:
-    """Encodes batches of texts; memory is bounded by ``most`` remembered pieces."""
+    """Encodes columns of texts; memory is bounded by ``2**bits`` table places."""
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, bits: int = 22):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.most = most
+        if hasattr(self.tokenizer.model, "_resize_cache"):
+            self.tokenizer.model._resize_cache(200_000)  # words that come with and without a comma
+        self.bits = bits
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with the space
+        self.opens[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
+        self.spaced = len(self._encode([" a a"])[0]) == int(self.opens[self._encode([" a a"])[0]].sum())
+        self.mark = self._encode([" " + MARK])[0]
         self._forget()
 
     def _forget(self) -> None:
-        self.index: dict[str, int] = {"": -1}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.at = np.zeros(1 << 14, np.int64)
-        self.n = self.used = 0
+        n = 1 << self.bits
+        self.key1, self.key2, self.slot = np.zeros(n, U64), np.zeros(n, U64), np.full(n, -1, np.int32)
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.at = np.zeros((n >> 1) + 2, np.int64)  # piece 0: bad
+        self.n, self.used = 1, 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Keys end with a space if they begin a text; all others follow one."""
-        good = []
-        for p in new:
-            q = p[:-1] if p[-1] == " " else p
-            if not q or q[-1].isspace() or (q is p and q[0].isspace()):
-                self.index[p] = -1
+    def _find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """Piece numbers; -1: not known."""
+        mask = U64((1 << self.bits) - 1)
+        out = np.full(len(h1), -1, np.int32)
+        todo, place = np.arange(len(h1)), h1 & mask
+        while len(todo):
+            slot = self.slot[place]
+            same = (slot >= 0) & (self.key1[place] == h1[todo]) & (self.key2[place] == h2[todo])
+            out[todo[same]] = slot[same]
+            on = (slot >= 0) & ~same
+            todo, place = todo[on], (place[on] + U64(1)) & mask
+        return out
+
+    def _add(self, h1: np.ndarray, h2: np.ndarray, number: np.ndarray) -> None:
+        mask = U64((1 << self.bits) - 1)
+        todo, place = np.arange(len(h1)), h1 & mask
+        while len(todo):
+            free = self.slot[place] < 0
+            self.slot[place[free]] = todo[free]  # the last one to claim a place has it
+            won = free & (self.slot[place] == todo)
+            self.key1[place[won]], self.key2[place[won]] = h1[todo[won]], h2[todo[won]]
+            self.slot[place[won]] = number[todo[won]]
+            todo, place = todo[~won], (place[~won] + U64(1)) & mask
+
+    def _keep(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Stores pieces whose ids lie end to end; their numbers."""
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
+        self.flat[self.used : self.used + len(ids)] = ids
+        number = np.arange(self.n, self.n + len(ends))
+        self.at[self.n + 1 : self.n + 1 + len(ends)] = self.used + ends
+        self.n += len(ends)
+        self.used += len(ids)
+        return number
+
+    def _learn(self, pieces: list[str], first: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces; 0 for those that aren't safe to encode alone."""
+        out = np.zeros(len(pieces), np.int64)
+        alone, joined = [], []
+        for i, (p, f) in enumerate(zip(pieces, first.tolist(), strict=True)):
+            if p and not p[-1].isspace() and MARK not in p and (f or not p[0].isspace()):
+                (alone if f else joined).append(i)
+        if alone:
+            ids = self._encode([pieces[i] for i in alone])
+            out[alone] = self._keep(np.array([x for e in ids for x in e], np.uint32), np.cumsum([len(e) for e in ids]))
+        if joined:
+            glue = "" if self.spaced else " " + MARK
+            texts = ["".join(f" {pieces[i]}{glue}" for i in joined[a : a + 500]) for a in range(0, len(joined), 500)]
+            ids = np.array([x for e in self._encode(texts) for x in e], np.uint32)
+            if self.spaced:
+                ends = np.r_[np.flatnonzero(self.opens[ids])[1:], len(ids)]
             else:
-                good.append((p, q if q is not p else " " + p))
-        for (p, _), ids in zip(good, self._encode([q for _, q in good]), strict=True):
-            if self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros(max(len(self.flat), len(ids)), np.uint32)))
-            if self.n + 2 > len(self.at):
-                self.at = np.concatenate((self.at, np.zeros(len(self.at), np.int64)))
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
-            self.index[p] = self.n
-            self.n += 1
-            self.at[self.n] = self.used
-
-    def encode(self, texts: list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, one after the other, and where each text's begin; ``end`` closes each."""
-        if len(self.index) > self.most:
+                last = np.flatnonzero(ids == self.mark[-1])
+                ends = last + 1 - len(self.mark) * np.arange(1, len(last) + 1)
+                keep = np.ones(len(ids), bool)
+                for back in range(len(self.mark)):
+                    keep[last - back] = False
+                ids = ids[keep]
+            if len(ends) != len(joined):  # never seen; each by itself then
+                each = self._encode([" " + pieces[i] for i in joined])
+                ids, ends = np.array([x for e in each for x in e], np.uint32), np.cumsum([len(e) for e in each])
+            out[joined] = self._keep(ids, ends)
+        return out
+
+    def encode(self, column: pa.Array | list[str], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: empty), one after the other, and where each text's begin; ``end`` closes each."""
+        if isinstance(column, list):
+            column = pa.array(column, pa.large_string())
+        data, offsets = utf8(column)
+        n_docs = len(offsets) - 1
+        gap = np.flatnonzero(data == 32)
+        starts = np.sort(np.concatenate((offsets[:-1], gap + 1)), kind="stable")
+        ends = np.sort(np.concatenate((gap, offsets[1:])), kind="stable")
+        first_of = np.arange(n_docs) + np.searchsorted(gap, offsets[:-1])
+        first = np.zeros(len(starts), bool)
+        first[first_of] = True
+        if self.n + len(starts) > len(self.at) - 2:
             self._forget()
-        pieces: list[str] = []
-        sizes = np.zeros(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            p = t.split(" ")
-            p[0] += " "
-            sizes[i] = len(p)
-            pieces += p
-        if new := list(set(pieces).difference(self.index)):
-            self._learn(new)
-        ix = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        doc = np.repeat(np.arange(len(texts)), sizes)
-        whole = np.unique(doc[ix < 0])
-        ix_ok = np.where(ix < 0, 0, ix)
-        length = np.where(ix < 0, 0, self.at[ix_ok + 1] - self.at[ix_ok])
+        h1, h2 = self._hashes(data, starts, ends, first)
+        number = self._find(h1, h2)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            _, at, back = np.unique(h1[new], return_index=True, return_inverse=True)
+            pick = new[at]
+            if self.n + len(pick) > len(self.at) - 2:
+                raise ValueError("more distinct pieces in one batch than the table holds")
+            raw = data.tobytes()
+            pieces = [raw[a:b].decode() for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
+            got = self._learn(pieces, first[pick])
+            self._add(h1[pick], h2[pick], got)
+            number[new] = got[back]
+        doc = np.repeat(np.arange(n_docs), np.diff(np.r_[first_of, len(starts)]))
+        length = self.at[number + 1] - self.at[number]
+        bad = number == 0
         odd: dict[int, list[int]] = {}
-        if len(whole):
-            odd = dict(zip(whole.tolist(), self._encode([texts[i] for i in whole]), strict=True))
+        if bad.any():
+            whole = np.unique(doc[bad])
+            odd = dict(zip(whole.tolist(), self._encode([column[i].as_py() or "" for i in whole.tolist()]), strict=True))
             length[np.isin(doc, whole)] = 0
-        first = np.cumsum(sizes) - sizes
-        extra = np.full(len(texts), int(end is not None), np.int64)
-        for i, ids in odd.items():
-            extra[i] += len(ids)
-        per_doc = (np.add.reduceat(length, first) if len(pieces) else np.zeros(0, np.int64)) + extra
-        offsets = np.concatenate(([0], np.cumsum(per_doc)))
-        out = np.zeros(int(offsets[-1]), np.uint32)
-        place = np.cumsum(length) - length
-        place += offsets[doc] - (place[first])[doc]
-        total = int(length.sum())
-        rank = np.arange(total) - np.repeat(np.cumsum(length) - length, length)
-        out[np.repeat(place, length) + rank] = self.flat[np.repeat(self.at[ix_ok], length) + rank]
+        else:
+            length[bad] = 0
+        per_doc = (np.add.reduceat(length, first_of) if n_docs else np.zeros(0, np.int64)) + int(end is not None)
         for i, ids in odd.items():
-            out[offsets[i] : offsets[i] + len(ids)] = ids
+            per_doc[i] += len(ids)
+        begin = np.concatenate(([0], np.cumsum(per_doc)))
+        out = np.zeros(int(begin[-1]), np.uint32)
+        upto = np.cumsum(length)
+        total = int(upto[-1]) if len(upto) else 0
+        before = upto - length
+        shift = begin[:-1] - before[first_of]  # what stands in the output and not in the pieces
+        rank = np.arange(total)
+        ids = self.flat[np.repeat(self.at[number] - before, length) + rank]
+        if odd or end is not None:
+            out[np.repeat(shift[doc], length) + rank] = ids
+        else:
+            out = ids
+        for i, x in odd.items():
+            out[begin[i] : begin[i] + len(x)] = x
         if end is not None:
-            out[offsets[1:] - 1] = end
-        return out, offsets
+            out[begin[1:] - 1] = end
+        return out, begin
+
+    @staticmethod
+    def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        length = ends - starts
+        if not len(data):
+            return (np.where(first, U64(1), U64(2)),) * 2
+        # a piece and the space after it (if there is one) make a stretch: stretches lie end to end
+        stretch = np.diff(np.r_[starts, len(data)])
+        rank = np.arange(len(data)) - np.repeat(starts, stretch)
+        power = powers(0x9E3779B97F4A7C15, int(stretch.max()) + 1)[rank]
+        out = []
+        with np.errstate(over="ignore"):
+            salt = length.astype(U64) * U64(0xD6E8FEB86659FD93) + first.astype(U64)
+            for seed in (11, 12):
+                total = np.zeros(len(data) + 1, U64)
+                np.cumsum(codes(seed)[data] * power, out=total[1:])
+                out.append(mix(mix(total[ends] - total[starts]) + salt))
+        return out[0], out[1]
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
