@@ -12,6 +12,7 @@ from .media import media_columns
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import quality
+from .secrets import secret_report
 from .substring import substring_digests
 from .tokenbin import token_binary
 
@@ -28,6 +29,10 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_binary(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=1)
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(documents(spark, sf_dir))
+
+
 def op4_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     return quality(documents(spark, sf_dir), labels)
@@ -54,7 +59,7 @@ def op10_script_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_binary, op4_ftrl_quality, op6_media_chunks, op7_one_permutation_fingerprints, op8_best_two_fit, op9_setsketch_near_dedup, op10_script_viterbi_language)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_binary, op3_secret_scan, op4_ftrl_quality, op6_media_chunks, op7_one_permutation_fingerprints, op8_best_two_fit, op9_setsketch_near_dedup, op10_script_viterbi_language)}
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": r"""
         WITH w AS (
