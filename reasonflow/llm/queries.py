@@ -13,6 +13,7 @@ from .neardup import near_duplicates
 from .packing import pack_documents
 from .quality import quality
 from .secrets import secret_report
+from .sentencepieces import encode_and_decode
 from .substring import substring_digests
 from .tokenbin import token_binary
 
@@ -38,6 +39,10 @@ def op4_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), labels)
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_and_decode(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op6_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(documents(spark, sf_dir))
 
@@ -59,7 +64,7 @@ def op10_script_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_binary, op3_secret_scan, op4_ftrl_quality, op6_media_chunks, op7_one_permutation_fingerprints, op8_best_two_fit, op9_setsketch_near_dedup, op10_script_viterbi_language)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_token_binary, op3_secret_scan, op4_ftrl_quality, op5_sentencepiece, op6_media_chunks, op7_one_permutation_fingerprints, op8_best_two_fit, op9_setsketch_near_dedup, op10_script_viterbi_language)}
 ORACLES: dict[str, str] = {
     "op1_substring_dedup": r"""
         WITH w AS (
