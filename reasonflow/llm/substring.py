@@ -104,16 +104,18 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text", tag(F.col("text")).alias("tag"))
     anchors = docs.mapInArrow(_anchors(min_words), "anchor long, content long, doc_id long, place long")
     many = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("content").alias("c0"), F.max("content").alias("c1"))
-    many = many.where("first_doc < last_doc").select("anchor", "first_doc", (F.col("c0") != F.col("c1")).alias("varied"))
+    # written first, so that both sides of the join are dealt for it alone and Spark can split a hot anchor
+    many = materialise(many.where("first_doc < last_doc").select("anchor", "first_doc", (F.col("c0") != F.col("c1")).alias("varied")), "anchors")
     shared = materialise(anchors.join(many, "anchor"), "shared-anchors")
     alike = shared.where("not varied and doc_id > first_doc").select("doc_id", "place")
     varied = shared.where("varied")
-    classes = varied.groupBy("anchor", "content").agg(F.min("doc_id").alias("class_doc"))
+    classes = materialise(varied.groupBy("anchor", "content").agg(F.min("doc_id").alias("class_doc")), "anchor-classes")
     judged = materialise(varied.join(classes, ["anchor", "content"]).select("doc_id", "place", (F.col("doc_id") > F.col("class_doc")).alias("later")), "classes")
     later = judged.where("later").select("doc_id", "place")
     kept = judged.where("not later").groupBy("doc_id", F.col("place").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("tag")).agg(F.collect_list("place").alias("runs"))
     single = materialise(docs.join(kept, ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs").mapInArrow(_single_windows(min_words), "w1 long, w2 long, doc_id long, place long"), "windows")
     least = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
+    least = materialise(least, "repeated-windows")
     exact = single.join(least, ["w1", "w2"]).where("doc_id > least").select("doc_id", "place")
     return alike.unionByName(later).unionByName(exact)
 
