@@ -99,7 +99,7 @@ def _list_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
-    packer = zstandard.ZstdCompressor(level=3)
+    packer = zstandard.ZstdCompressor(level=6)
     for whole in batches:
         for batch in steps(whole, "text"):
             packed = [packer.compress(w) for w in _wavs(batch)]
@@ -107,24 +107,71 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names=["doc_id", "k", "n_bytes", "packed"])
 
 
-def _lend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Described:
+    """Columns that describe media read back."""
+
+    NAMES = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks", "n_shared"]
+    TYPES = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64()]
+    DDL = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long, n_shared long"
+
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+
+    def add(self, parts: list[bytes], shared: int) -> None:
+        media = b"".join(parts)
+        payload = from_wav(media)
+        self.rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload), len(parts), shared))
+
+    def skip(self) -> None:
+        self.rows.append((None,) * len(self.NAMES))
+
+    def arrays(self) -> list[pa.Array]:
+        return [pa.array([r[i] for r in self.rows], t) for i, t in enumerate(self.TYPES)]
+
+
+def _pieces(media: bytes, cuts: list[int]) -> list[bytes]:
+    return [media[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+
+
+DONE, LENT, WAITS = 0, 1, 2
+OPENED = f"kind int, doc_id long, n_bytes long, {_Described.DDL}, k long, packed binary, borrowed array<binary>, digest binary, chunk binary"
+
+
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads back media that borrow nothing, passes on the others, and gives out the chunks that others borrow."""
     import zstandard
 
-    packer, unpacker = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+    packer, unpacker = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+    names = [x.split()[0] for x in OPENED.split(", ")]
     for whole in batches:
         for lo in range(0, whole.num_rows, 200):
             batch = whole.slice(lo, 200)
-            media = [unpacker.decompress(x) for x in batch.column("packed").to_pylist()]
-            keys, chunks = [], []
-            for m, cuts, wanted in zip(media, cut(media), batch.column("lent").to_pylist(), strict=True):
-                wanted, seen = set(wanted), set()
-                for a, b in zip([0, *cuts], cuts, strict=False):
-                    d = digest(m[a:b])
-                    if d in wanted and d not in seen:
-                        seen.add(d)
-                        keys.append(d)
-                        chunks.append(packer.compress(m[a:b]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(chunks, pa.binary())], names=["digest", "chunk"])
+            n = batch.num_rows
+            packed, borrowed = batch.column("packed").to_pylist(), batch.column("borrowed").to_pylist()
+            media = [unpacker.decompress(x) for x in packed]
+            told, lent, chunks = _Described(), [], []
+            for m, cuts, b, wanted in zip(media, cut(media), borrowed, batch.column("lent").to_pylist(), strict=True):
+                parts = _pieces(m, cuts)
+                if b:
+                    told.skip()
+                else:
+                    told.add(parts, 0)
+                wanted = set(wanted or ())
+                for part in parts if wanted else ():
+                    d = digest(part)
+                    if d in wanted:
+                        wanted.remove(d)
+                        lent.append(d)
+                        chunks.append(packer.compress(part))
+            kind = pa.array([WAITS if b else DONE for b in borrowed], pa.int32())
+            kept = pa.array([x if b else None for x, b in zip(packed, borrowed, strict=True)], pa.binary())
+            none = pa.nulls(n, pa.binary())
+            lists = pa.array([b or None for b in borrowed], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([kind, batch.column("doc_id"), batch.column("n_bytes"), *told.arrays(), batch.column("k"), kept, lists, none, none], names=names)
+            if lent:
+                n = len(lent)
+                blank = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), *_Described.TYPES, pa.int64(), pa.binary(), pa.list_(pa.binary()))]
+                yield pa.RecordBatch.from_arrays([pa.array([LENT] * n, pa.int32()), *blank, pa.array(lent, pa.binary()), pa.array(chunks, pa.binary())], names=names)
 
 
 def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,26 +182,19 @@ def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo in range(0, whole.num_rows, 200):
             batch = whole.slice(lo, 200)
             own = [unpacker.decompress(x) for x in batch.column("packed").to_pylist()]
-            cols: dict[str, list] = {c: [] for c in ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks", "n_shared")}
-            for m, cuts, borrowed in zip(own, cut(own), batch.column("borrowed").to_pylist(), strict=True):
-                chunks = {x["digest"]: x["chunk"] for x in borrowed or []}
-                parts, shared = [], 0
-                for a, b in zip([0, *cuts], cuts, strict=False):
-                    d = digest(m[a:b])
+            told = _Described()
+            for m, cuts, fetched in zip(own, cut(own), batch.column("fetched").to_pylist(), strict=True):
+                chunks = {x["digest"]: x["chunk"] for x in fetched}
+                parts, shared = _pieces(m, cuts), 0
+                for i, part in enumerate(parts):
+                    d = digest(part)
                     if d in chunks:
-                        part = unpacker.decompress(chunks[d])
+                        parts[i] = unpacker.decompress(chunks[d])
                         shared += 1
-                        if digest(part) != d:
+                        if digest(parts[i]) != d:
                             raise ValueError("a stored chunk doesn't match its digest")
-                    else:
-                        part = m[a:b]
-                    parts.append(part)
-                media = b"".join(parts)
-                payload = from_wav(media)
-                row = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload), len(cuts), shared)
-                for c, v in zip(cols.values(), row, strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(v, pa.string() if isinstance(v[0], str) else pa.int64()) for v in cols.values())], names=["doc_id", "n_bytes", *cols])
+                told.add(parts, shared)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *told.arrays()], names=["doc_id", "n_bytes", *_Described.NAMES])
 
 
 def chunk_digests(docs: DataFrame) -> DataFrame:
@@ -169,17 +209,23 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     media_sha256, feature, n_chunks and n_shared (chunks read from another medium).  A null
     or empty text has a payload of spaces; repeated rows are media of their own; a null
     id stays null; an empty table gives an empty result.
+
+    Media move once, to meet the list of their shared chunks; those that borrow any
+    move a second time, to meet the chunks.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     # the key only has to be the same each time and spread well: what meets by chance does no harm, as digests decide
     docs = docs.withColumn("k", F.xxhash64("doc_id", "text"))
     chunks = chunk_digests(docs)
     shared = materialise(chunks.groupBy("digest").agg(F.min("k").alias("owner"), F.max("k").alias("other")).where("owner < other").select("digest", "owner"), "shared-chunks")
-    borrowers = chunks.join(shared, "digest").where("k > owner").select("k", "digest")
-    lenders = shared.groupBy(F.col("owner").alias("k")).agg(F.collect_list("digest").alias("lent"))  # a medium's own chunks at most
+    borrows = chunks.join(shared.hint("merge"), "digest").where("k > owner").select("k", F.lit(None).cast("binary").alias("lent"), F.col("digest").alias("borrowed"))
+    lends = shared.select(F.col("owner").alias("k"), F.col("digest").alias("lent"), F.lit(None).cast("binary").alias("borrowed"))
+    links = lends.unionByName(borrows).groupBy("k").agg(F.collect_list("lent").alias("lent"), F.collect_list("borrowed").alias("borrowed"))  # a medium's own chunks at most
     stored = docs.mapInArrow(_store, "doc_id long, k long, n_bytes long, packed binary")
-    lent = stored.join(lenders, "k").select("doc_id", "k", "n_bytes", "packed", "lent").mapInArrow(_lend, "digest binary, chunk binary").dropDuplicates(["digest"])
-    borrowed = borrowers.join(lent, "digest").groupBy("k").agg(F.collect_list(F.struct("digest", "chunk")).alias("borrowed"))
-    whole = stored.join(borrowed, "k", "left").select("doc_id", "k", "n_bytes", "packed", "borrowed")
-    out = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long, n_shared long"
-    return whole.mapInArrow(_read_back, out)
+    opened = materialise(stored.join(links.hint("merge"), "k", "left").select("doc_id", "k", "n_bytes", "packed", "lent", "borrowed").mapInArrow(_open, OPENED), "opened")
+    told = ["doc_id", "n_bytes", *_Described.NAMES]
+    store = opened.where(F.col("kind") == LENT).select("digest", "chunk").dropDuplicates(["digest"])
+    waits = opened.where(F.col("kind") == WAITS)
+    fetched = waits.select("k", F.explode("borrowed").alias("digest")).distinct().join(store, "digest").groupBy("k").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
+    late = waits.select("doc_id", "n_bytes", "k", "packed").join(fetched, "k").mapInArrow(_read_back, f"doc_id long, n_bytes long, {_Described.DDL}")
+    return opened.where(F.col("kind") == DONE).select(told).unionByName(late.select(told))
