@@ -248,8 +248,9 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         end = F.array_max(F.transform(spans, lambda y: y["e"]))
         return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(F.col("text"), end + 1, F.length("text") - end))
 
-    clean = F.when(F.size("secret_spans") > 0, let(F.col("secret_spans"), cut)).otherwise(F.col("text"))
-    out = {c: F.col(c) for c in columns} | {"text": clean}
+    some = F.size("secret_spans") > 0
+    found = found.withColumn("__rf_clean", F.when(some, let(F.col("secret_spans"), cut)).otherwise(F.col("text")))
+    out = {c: F.col(c) for c in columns} | {"text": F.col("__rf_clean")}
     if "n_chars" in columns:
-        out["n_chars"] = F.when(F.size("secret_spans") > 0, F.length(clean)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(some, F.length("__rf_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return found.select(*[v.alias(c) for c, v in out.items()])
