@@ -33,7 +33,7 @@ LENGTHS = [20, 24, 32, 48, 64]  # where the length classes begin
 ALPHA, FDR = 0.001, 0.01
 BIN, BINS = 0.25, 400  # width and number of the classes of -log10(p)
 #: Shares of text that aren't lower-case letters, and how often text changes class, at most.
-TEXT_DIGIT, TEXT_UPPER, TEXT_SIGN, TEXT_CHANGES = 0.05, 0.05, 0.01, 0.15
+TEXT_DIGIT, TEXT_UPPER, TEXT_SIGN, TEXT_CHANGES = 0.05, 0.05, 0.01, 0.25
 #: Weight, in letters, of equally common letters in the estimate of the corpus's letter frequencies.
 PRIOR = 26.0
 
@@ -186,7 +186,7 @@ class SecretScan:
     def fit(docs: DataFrame, text_col: str = "text") -> SecretScan:
         """Letter frequencies of the candidates without digits, then the p-values of all candidates.  Both are small tables."""
         text = F.coalesce(F.col(text_col), F.lit(""))
-        found = docs.select(F.explode(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("t"))
+        found = docs.select(F.explode(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).alias("t")).distinct()  # a string that many texts share is one test
         letters = found.where(~F.col("t").rlike("[^A-Za-z]")).select(F.explode(F.split(F.lower("t"), "")).alias("c")).where("c <> ''").groupBy("c").count()
         model = TextModel({r["c"]: r["count"] for r in letters.collect()})
         scored = found.select(tests(F.col("t"), model).alias("x"))
