@@ -9,6 +9,7 @@ likeness of two fingerprints is their share of equal places, freed of chance hit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -76,6 +77,20 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), (F.size(a) == F.size(b)).cast("double")).otherwise(found)
 
 
+def _place(x: Column, bounds: list[int]) -> Column:
+    """How many of the (sorted) bounds are greater; one more than all for null.  Searches in two steps."""
+    n, step = len(bounds), max(1, math.isqrt(len(bounds)))
+    if not bounds:
+        return F.when(x.isNull(), F.lit(1)).otherwise(F.lit(0))
+
+    def fine(c: Column) -> Column:
+        upto = F.size(F.filter(F.slice(F.lit(bounds), (c - 1) * step + 1, F.lit(step)), lambda b: b <= x))
+        return F.lit(n) - F.when(c == 0, F.lit(0)).otherwise((c - 1) * step + upto)
+
+    coarse = F.size(F.filter(F.lit(bounds[::step]), lambda b: b <= x))
+    return F.when(x.isNull(), F.lit(n + 1)).otherwise(let(coarse, fine))
+
+
 def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     """Adds next_<column> of the row that follows in descending doc_id (nulls last, ties by text; after the last the first).
 
@@ -85,9 +100,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     at = F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)
     (bounds,) = docs.agg(at).first()  # n - 1 numbers
-    bounds = sorted(set(bounds or []))
-    place = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(let(F.col("doc_id"), lambda x: F.size(F.filter(F.lit(bounds) if bounds else F.array().cast("array<bigint>"), lambda b: x < b))))
-    docs = docs.withColumn("bucket", place.cast("int"))
+    docs = docs.withColumn("bucket", _place(F.col("doc_id"), sorted(set(bounds or []))).cast("int"))
     # the first row of each bucket: found by its id alone, so that no text is moved for it
     top = docs.groupBy("bucket").agg(F.max("doc_id").alias("top"))
     heads = docs.join(F.broadcast(top.withColumnRenamed("bucket", "b")), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("top")))

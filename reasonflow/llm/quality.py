@@ -101,15 +101,16 @@ def _train(epochs: int):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 10_000, epochs: int = 3) -> np.ndarray:
-    """Weights (the last is the bias) from at most ``most`` labelled documents outside fold 1.
+    """Weights (the last is the bias) from about ``most`` labelled documents outside fold 1.
 
-    ``labels`` has doc_id and label (0 or 1; other rows are passed over).  The documents with the
-    least hash of their id are taken, whole.  No labels: all weights are zero, so
+    ``labels`` has doc_id and label (0 or 1; other rows are passed over).  The documents whose id has a
+    hash that is low enough are taken, whole.  No labels: all weights are zero, so
     every score is 0.5.
     """
     chosen = labels.where("label in (0, 1) and doc_id is not null").where(fold(F.col("doc_id")) != 1).select(F.col("doc_id").cast("long").alias("label_id"), F.col("label").cast("int").alias("label"))
     order = F.xxhash64("label_id")
-    chosen = chosen.orderBy(order, "label_id", "label").limit(most)  # small rows, and at most that many are broadcast
+    share = min(1.0, most / max(chosen.count(), 1))
+    chosen = chosen.where(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < share)  # about ``most`` small rows are broadcast
     rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "label", order.alias("o"))
     found = rows.repartition(1).sortWithinPartitions("o", "label", "text").mapInArrow(_train(epochs), "w binary").collect()
     return np.frombuffer(found[0][0], "<f4") if found else np.zeros(DIM + 1, np.float32)

@@ -35,9 +35,9 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int, samples: int = 2000, longest: int = 16_384, size: int = 65_536) -> bytes:
-    """A zstandard dictionary fitted on serialized ids of at most ``samples`` documents of at most ``longest`` characters.
+    """A zstandard dictionary fitted on serialized ids of about ``samples`` documents of at most ``longest`` characters.
 
-    The sample is the documents with the least hash, so it does not depend on order.
+    The sample is the documents whose hash is low enough, so it does not depend on order.
     Too little data to train on: an empty dictionary (frames are then plain).
     """
     dtype = id_type(tokenizer)
@@ -57,8 +57,10 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int, samples: int = 2
                 trained = b""
         yield pa.RecordBatch.from_arrays([pa.array([trained], pa.binary())], names=["dictionary"])
 
-    chosen = docs.select("text").where((F.length("text") > 0) & (F.length("text") <= longest)).orderBy(F.xxhash64("text"), "text").limit(samples)
-    found = chosen.coalesce(1).mapInArrow(run, "dictionary binary").collect()
+    share = min(1.0, samples / max(docs.count(), 1))
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
+    chosen = docs.select("text").where((F.length("text") > 0) & (F.length("text") <= longest) & (draw < share))
+    found = chosen.repartition(1).sortWithinPartitions("text").mapInArrow(run, "dictionary binary").collect()
     return bytes(found[0][0]) if found else b""
 
 

@@ -277,6 +277,15 @@ def test_fingerprints(docs, rows, empty):
     assert fingerprints.edited_fingerprints(empty).count() == 0
 
 
+def test_buckets_of_neighbours(spark):
+    bounds = sorted(random.Random(1).sample(range(-500, 500), 37))
+    ids = [None, *range(-510, 510, 7), *bounds]
+    df = spark.createDataFrame([(i,) for i in ids], "x long")
+    for some in (bounds, bounds[:1], []):
+        got = [r[0] for r in df.select(fingerprints._place(F.col("x"), some)).collect()]
+        assert got == [len(some) + 1 if i is None else sum(i < b for b in some) for i in ids]
+
+
 def test_packing(docs, rows, empty):
     from tokenizers import Tokenizer
 
