@@ -235,6 +235,7 @@ class SentencePieceEncoder(PieceEncoder):
 
     def __init__(self, path: str, bits: int = 21):
         self.model, self.bits = SentencePieceModel(path), bits
+        self.size = len(self.model.pieces)
         self._forget()
 
     def _learn(self, pieces: list[str], first: np.ndarray) -> np.ndarray:

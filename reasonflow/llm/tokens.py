@@ -6,7 +6,7 @@ pieces between such spaces; equal pieces are encoded once per worker.  Texts wit
 other kind of spacing around a space are encoded whole.  Results equal the
 tokenizers library's on the whole text.
 
-Pieces are looked up by a 128-bit hash of their bytes in an open-addressing table of
+Pieces are looked up by a 96-bit hash of their bytes in an open-addressing table of
 numpy arrays: no Python object is made for a piece already known.
 """
 
@@ -32,10 +32,11 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         if hasattr(self.tokenizer.model, "_resize_cache"):
-            self.tokenizer.model._resize_cache(200_000)  # words that come with and without a comma
+            self.tokenizer.model._resize_cache(100_000)  # words that come with and without a comma
         self.bits = bits
         vocabulary = self.tokenizer.get_vocab()
-        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)  # ids whose bytes begin with the space
+        self.size = max(vocabulary.values()) + 1
+        self.opens = np.zeros(self.size, bool)  # ids whose bytes begin with the space
         self.opens[[i for t, i in vocabulary.items() if t[0] == "Ġ"]] = True
         self.spaced = len(self._encode([" a a"])[0]) == int(self.opens[self._encode([" a a"])[0]].sum())
         self.mark = self._encode([" " + MARK])[0]
@@ -43,9 +44,9 @@ class PieceEncoder:
 
     def _forget(self) -> None:
         n = 1 << self.bits
-        self.key1, self.key2, self.slot = np.zeros(n, U64), np.zeros(n, U64), np.full(n, -1, np.int32)
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.at = np.zeros((n >> 1) + 2, np.int64)  # piece 0: bad
+        self.key1, self.key2, self.slot = np.zeros(n, U64), np.zeros(n, np.uint32), np.full(n, -1, np.int32)
+        self.flat = np.zeros(1 << 20, np.uint16 if self.size <= 1 << 16 else np.uint32)
+        self.at = np.zeros((n >> 1) + 2, np.uint32)  # piece 0: bad
         self.n, self.used = 1, 0
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
@@ -78,7 +79,7 @@ class PieceEncoder:
     def _keep(self, ids: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Stores pieces whose ids lie end to end; their numbers."""
         while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros(len(self.flat), np.uint32)))
+            self.flat = np.concatenate((self.flat, np.zeros(len(self.flat) // 2, self.flat.dtype)))
         self.flat[self.used : self.used + len(ids)] = ids
         number = np.arange(self.n, self.n + len(ends))
         self.at[self.n + 1 : self.n + 1 + len(ends)] = self.used + ends
@@ -133,8 +134,8 @@ class PieceEncoder:
         number = self._find(h1, h2)
         new = np.flatnonzero(number < 0)
         if len(new):
-            _, at, back = np.unique(h1[new], return_index=True, return_inverse=True)
-            pick = new[at]
+            _, where, back = np.unique(h1[new], return_index=True, return_inverse=True)
+            pick = new[where]
             if self.n + len(pick) > len(self.at) - 2:
                 raise ValueError("more distinct pieces in one batch than the table holds")
             raw = data.tobytes()
@@ -143,7 +144,8 @@ class PieceEncoder:
             self._add(h1[pick], h2[pick], got)
             number[new] = got[back]
         doc = np.repeat(np.arange(n_docs), np.diff(np.r_[first_of, len(starts)]))
-        length = self.at[number + 1] - self.at[number]
+        at = self.at[number].astype(np.int64)
+        length = self.at[number + 1] - at
         bad = number == 0
         odd: dict[int, list[int]] = {}
         if bad.any():
@@ -162,7 +164,7 @@ class PieceEncoder:
         before = upto - length
         shift = begin[:-1] - before[first_of]  # what stands in the output and not in the pieces
         rank = np.arange(total)
-        ids = self.flat[np.repeat(self.at[number] - before, length) + rank]
+        ids = self.flat[np.repeat(at - before, length) + rank].astype(np.uint32)
         if odd or end is not None:
             out[np.repeat(shift[doc], length) + rank] = ids
         else:
@@ -177,7 +179,7 @@ class PieceEncoder:
     def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         length = ends - starts
         if not len(data):
-            return (np.where(first, U64(1), U64(2)),) * 2
+            return np.where(first, U64(1), U64(2)), np.ones(len(first), np.uint32)
         # a piece and the space after it (if there is one) make a stretch: stretches lie end to end
         stretch = np.diff(np.r_[starts, len(data)])
         rank = np.arange(len(data)) - np.repeat(starts, stretch)
@@ -189,7 +191,7 @@ class PieceEncoder:
                 total = np.zeros(len(data) + 1, U64)
                 np.cumsum(codes(seed)[data] * power, out=total[1:])
                 out.append(mix(mix(total[ends] - total[starts]) + salt))
-        return out[0], out[1]
+        return out[0], out[1].astype(np.uint32)
 
 
 _ENCODERS: dict[str, PieceEncoder] = {}
