@@ -209,3 +209,9 @@ def question_of(e: Column, dataset: str, names: list[str] | None = None) -> Colu
     else:
         out = F.coalesce(*[e[n] for n in names or ["question", "problem", "Question", "input"]])
     return strip(out)
+
+
+def run_answer(text: Column, prompt_type: str) -> Column:
+    """The answer of a run: what its program printed, or what it says.  Programs themselves aren't run; null for a failed run."""
+    found = program_output(text) if "program_only" in prompt_type else answer(text)
+    return F.when(text.isNotNull() & ~text.isin("", "error"), strip_string(found))

@@ -104,3 +104,10 @@ def parse_number(x: Column) -> Column:
         return F.coalesce(let(strip(s), number), F.when(s.endswith("%"), let(strip(F.regexp_replace(s, r"\\?%$", "")), number) / 100))
 
     return let(F.replace(F.replace(x, F.lit("{,}"), F.lit("")), F.lit(","), F.lit("")), either)
+
+
+def plain_prediction(x: Column) -> Column:
+    """A number to six places, else the text without outer brackets and braces."""
+    number = F.replace(F.replace(x, F.lit("{,}"), F.lit("")), F.lit(","), F.lit("")).try_cast("double")
+    bare = F.regexp_replace(strip(x), r"^(?:\[(?=.*\]$)|\((?=.*\)$))+|(?<=.)[\])]+$", "")
+    return F.coalesce(F.round(number, 6).cast("string"), F.regexp_replace(bare, r"[{}()]", ""))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import time
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,6 +49,27 @@ def merge_results(samples: DataFrame, results: DataFrame, model: str, at: Column
     return rows.withColumns({"dag_analysis": parse_dag(F.col("content")), "dag_error": F.when(there, error), "dag_metadata": F.when(there & error.isNull(), meta)}).drop("content", "custom_id")
 
 
+@dataclass(frozen=True)
+class ModelConfig:
+    """Settings of a connection; the key comes from the environment alone."""
+
+    provider: str = "openai"
+    model: str = ""
+    key: str | None = None
+    temperature: float = 0.0
+    top_p: float = 1.0
+    max_tokens: int = 4096
+    timeout: float = 60.0
+    per_minute: int = 60
+    tries: int = 3
+
+    @classmethod
+    def from_env(cls, provider: str = "openai", **settings: float) -> ModelConfig:
+        env = os.environ
+        named = {"model": env.get("LLM_MODEL", ""), "key": env.get(f"{provider.upper()}_API_KEY")}
+        return cls(provider=provider, **named | settings)
+
+
 class RateLimit:
     """At most ``per_minute`` calls in any 60 seconds."""
 

@@ -113,3 +113,15 @@ def stability_report(runs: DataFrame, most: int = 50_000) -> DataFrame:
     """Similarity of repeated analyses of one problem (problem_id, sample_idx, dag) by pairs, rolled up."""
     pairs = metrics.iteration_pairs(runs).withColumn("similarity", dags.ged_similarity(most=most)(F.col("a"), F.col("b"))["similarity_normalized"])
     return metrics.stability(pairs)
+
+
+def repeated(samples: DataFrame, n: int) -> DataFrame:
+    """Each sample n times, numbered by ``sample_idx``, to be analysed again and again."""
+    return samples.drop("sample_idx").select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample_idx"))
+
+
+def report_rows(segmented: DataFrame, graphs: DataFrame) -> DataFrame:
+    """Segmented samples with their graph, if there is one, and its diagram and table."""
+    g = graphs.select("problem_id", "variant", "sample_idx", "dag")
+    rows = segmented.withColumn("problem_id", F.col("problem_id").cast("string")).join(g, ["problem_id", "variant", "sample_idx"], "left")
+    return rows.withColumns({"diagram": dags.mermaid(F.col("dag")), "dependencies": dags.dependency_table(F.col("dag"))})

@@ -59,6 +59,12 @@ def read_similarity_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("problem_id", *[F.expr(f"try_cast(trim(`{c}`) AS double)").alias(c) for c in ("original_vs_simple_ged", "original_vs_hard_ged")])
 
 
+def comparisons(df: DataFrame, entries: str = "entries", keys: tuple[str, ...] = ("problem_id",)) -> DataFrame:
+    """One row for each entry of a map column whose key ends in _vs_simple or _vs_hard: keys, comparison, entry."""
+    wanted = F.map_filter(entries, lambda k, _: k.rlike("_vs_(simple|hard)$"))
+    return df.select(*keys, F.explode(wanted).alias("comparison", "entry"))
+
+
 def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
