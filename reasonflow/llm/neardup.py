@@ -8,10 +8,10 @@ sketches merge by the maximum of each register.
 Equal sets are one class from the start.  Classes meet in buckets of equal bands of
 registers; the number of bands is set so that a pair at the threshold meets with a
 probability of 1 - 1e-6 or more.  A pair goes on if its joint likelihood allows the
-threshold, and is then confirmed on the full sets.  Each bucket first links its members to its
-least one; buckets that still hold several components go on with twice as many centres a round,
-at last with all, so that no link that a bucket can show is lost, while groups of copies
-cost a row per member.
+threshold, and is then confirmed on the full sets.  Each bucket links its members to its
+least one, so a group of copies costs a row per member.  The members of buckets that still
+hold several components are then compared across components by an exact prefix filter, so no
+link that a bucket can show is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -34,8 +34,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: A pair is dropped unseen if its likelihood at the threshold is this much (in nats) below its best.
 SLACK = 16.0
-#: Buckets up to this size compare all members of different components at once.
-SMALL = 32
 
 
 def bands(percent: int, miss: float = 1e-6) -> int:
@@ -185,43 +183,99 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     members = nodes.join(classes.select(*same, "rep"), same).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
     keys = classes.mapInArrow(_bucket_keys(m), "key long, rep long")
-    shared = keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other"), F.count("*").alias("size")).where("centre < other").drop("other")
+    shared = materialise(keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other"), F.count("*").alias("size")).where("centre < other").drop("other"), "shared")
     buckets = materialise(keys.join(shared, "key").select("key", "rep", "centre", "size"), "buckets")
     pairs = buckets.where("rep <> centre").select(F.col("rep").alias("x"), F.col("centre").alias("y")).distinct()
-    links = _links(pairs, classes, docs, shingle, percent, m)
-
-    wide, t = buckets.where("size > 2"), 0
-    while True:
-        label = connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
-        label = label.select(F.col("node").alias("rep"), F.col("component"))
-        named = wide.join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        mixed = named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key")
-        wide_now = materialise(named.join(mixed, "key"), "mixed-buckets")
-        largest = wide_now.agg(F.max("size")).first()[0]
-        if largest is None or (t and largest <= max(SMALL, 2 ** (t + 1))):
-            break
-        t += 1
-        chance = F.when(F.col("size") <= SMALL, 1.0).otherwise(F.lit(float(2 ** (t + 1))) / F.col("size"))
-        draw = F.pmod(F.xxhash64("key", "rep", F.lit(t)), F.lit(1 << 30)) / float(1 << 30)
-        centres = wide_now.where(draw < chance).select("key", F.col("rep").alias("y"), F.col("component").alias("cy"))
-        pairs = wide_now.where(F.lit(t == 1) | (F.col("size") > SMALL)).join(centres, "key").where("component <> cy and not (rep = centre or y = centre)")
-        pairs = pairs.select(F.greatest("rep", "y").alias("x"), F.least("rep", "y").alias("y")).distinct()
-        links = materialise(links.unionByName(_links(pairs, classes, docs, shingle, percent, m)), "links")
-        wide = wide_now.select("key", "rep", "centre", "size")
+    likely = _likely_pairs(pairs, classes, percent, m)
+    # all texts that may be wanted are fetched at once, by one deal of the documents at any size
+    wanted = likely.select(F.col("x").alias("doc_id")).unionByName(likely.select(F.col("y").alias("doc_id"))).unionByName(buckets.where("size > 2").select(F.col("rep").alias("doc_id"))).distinct()
+    texts = materialise(docs.join(wanted.hint("merge"), "doc_id").distinct(), "texts")  # rows that share an id make a text each: any pair of theirs may link
+    links = _confirmed(likely, texts, shingle, percent)
+
+    # a first name for what belongs together, one link deep: too many names cost comparisons, no links
+    label = links.groupBy(F.col("x").alias("rep")).agg(F.min("y").alias("component"))
+    named = buckets.where("size > 2").select("key", "rep").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    mixed = materialise(named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key"), "mixed")
+    rest = materialise(named.join(mixed, "key").select("rep", "component").distinct(), "rest")
+    links = links.unionByName(_exact_links(rest, texts, shingle, percent))
 
     final = connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(members))
     final = final.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "found")
     return rows.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, percent: int, m: int) -> DataFrame:
-    """Those of the pairs (x, y) of class representatives that are linked."""
+def _exact_links(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links that join all components of ``rest`` (rep, component) that any links join, by prefix filtering.
+
+    Rows of one component must be joined already; a component may have several names.
+
+    Under one order of all shingles, rarest first, two linked sets share one of the first
+    n - ceil(percent n / 100) + 1 shingles of both, and of the smaller set even one of the first
+    n - ceil(2 percent n / (100 + percent)) + 1.  At the first shingle that they share, what is left of either is
+    no smaller than the overlap that the threshold asks for.  A passage common to many documents
+    comes last in that order, so those with much else to them make no pairs.  Documents first
+    meet, for each shingle, the one that has it earliest; pairs are made between those that are
+    in different components still.
+    """
+    rest = rest.withColumnRenamed("rep", "doc_id")
+    texts = materialise(texts.join(rest.select("doc_id"), "doc_id"), "rest-texts")
+    tokens = texts.select("doc_id", "text").mapInArrow(_tokens(shingle), "doc_id long, row long, n long, token long")
+    often = tokens.groupBy("token").agg(F.count("*").alias("often"))
+    order = Window.partitionBy("doc_id", "row").orderBy("often", "token")
+    upto = lambda a, b: F.col("n") - F.expr(f"(n * {a} + {b - 1}) div {b}") + 1  # noqa: E731  n - ceil(n a / b) + 1
+    prefix = tokens.join(often, "token").withColumn("place", F.row_number().over(order)).where(F.col("often") > 1).where(F.col("place") <= upto(percent, 100))
+    prefix = prefix.select("doc_id", "n", "token", (F.col("n") - F.col("place") + 1).alias("left"), (F.col("place") <= upto(2 * percent, 100 + percent)).alias("early"))
+    prefix = materialise(prefix, "prefix")
+
+    def mixed(rest: DataFrame) -> DataFrame:
+        """Places of the shingles that several components share, with the component."""
+        named = prefix.join(rest, "doc_id")
+        several = named.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("token")
+        return named.join(materialise(several, "several"), "token")
+
+    def allowed(x: str, y: str) -> Column:
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        enough = F.least(f"{x}.left", f"{y}.left") * (100 + percent) >= (n + m) * percent
+        return (F.col(f"{x}.component") != F.col(f"{y}.component")) & (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & enough
+
+    def pairs(x: DataFrame, y: DataFrame, more: Column) -> DataFrame:
+        found = x.alias("x").join(y.alias("y"), (F.col("x.token") == F.col("y.token")) & allowed("x", "y") & more)
+        ids = (F.col("x.doc_id"), F.col("y.doc_id"))
+        return found.select(F.greatest(*ids).alias("x"), F.least(*ids).alias("y")).distinct()
+
+    rows = mixed(rest)
+    first = rows.groupBy("token").agg(F.min(F.struct((1 - F.col("left") / F.col("n")).alias("share"), "n", "doc_id", "left", "component")).alias("c")).select("token", "c.*")
+    links = _confirmed(pairs(rows, materialise(first, "first"), F.lit(True)), texts.select("doc_id", "text"), shingle, percent)
+    named = links.join(rest.select(F.col("doc_id").alias("x"), F.col("component").alias("u")), "x").join(rest.select(F.col("doc_id").alias("y"), F.col("component").alias("v")), "y")
+    joined = named.select("u", "v").unionByName(named.select(F.col("v").alias("u"), F.col("u").alias("v"))).groupBy(F.col("u").alias("node")).agg(F.min("v").alias("joined")).where("joined < node")
+    rest = materialise(rest.join(joined, F.col("component") == F.col("node"), "left").select("doc_id", F.coalesce("joined", "component").alias("component")), "rest")
+    rows = mixed(rest)
+    last = pairs(rows, rows.where("early"), F.col("x.n") >= F.col("y.n"))
+    return links.unionByName(_confirmed(last, texts.select("doc_id", "text"), shingle, percent))
+
+
+def _tokens(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 33  # rows that share an id are sets of their own
+        for whole in batches:
+            for batch in steps(whole, "text"):
+                doc, value = shingle_sets(*utf8(batch.column("text")), shingle)
+                n = np.bincount(doc, minlength=batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc)), pa.array(row + doc), pa.array(n[doc]), pa.array(signed(value))], names=["doc_id", "row", "n", "token"])
+                row += batch.num_rows
+
+    return run
+
+
+def _likely_pairs(pairs: DataFrame, classes: DataFrame, percent: int, m: int) -> DataFrame:
+    """Those of the pairs (x, y) of class representatives whose sketches allow a link."""
     side = lambda s: classes.select(F.col("rep").alias(s), F.col("n_shingles").alias(f"n{s}"), F.col("sketch").alias(f"k{s}"))
-    likely = materialise(pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_likely(m, percent), "x long, y long"), "likely")
-    wanted = likely.select(F.col("x").alias("doc_id")).unionByName(likely.select(F.col("y").alias("doc_id"))).distinct()
-    if likely.isEmpty():
-        return likely
-    # rows that share an id make one text each: any pair of theirs may link
-    texts = materialise(docs.join(wanted, "doc_id").distinct(), "texts")
+    return materialise(pairs.join(side("x"), "x").join(side("y"), "y").mapInArrow(_likely(m, percent), "x long, y long"), "likely")
+
+
+def _confirmed(likely: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Those pairs (x, y) whose full sets are linked."""
     told = likely.join(texts.select(F.col("doc_id").alias("x"), F.col("text").alias("tx")), "x").join(texts.select(F.col("doc_id").alias("y"), F.col("text").alias("ty")), "y")
     return materialise(told.mapInArrow(_confirm(shingle, percent), "x long, y long").distinct(), "links")
