@@ -24,7 +24,9 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True)
 
 def read_permissive(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Bad lines keep their text in ``_corrupt_record``, so that they can be counted or logged."""
-    return spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", f"{schema}, _corrupt_record string", options).alias("r")).select("r.*")
 
 
 def with_position(df: DataFrame) -> DataFrame:

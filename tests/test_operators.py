@@ -75,9 +75,10 @@ def test_records_round_trip(spark, tmp_path):
     lines = [{"problem_id": 1, "original": {"problem": "p", "samples": [{"response": "é", "correct": True}, {"response": "b", "correct": None}]}, "simple": {"response": "flat", "correct": False}}, {"problem_id": 2}]
     with open(path, "w") as f:
         f.write("\n\n".join(json.dumps(x) for x in lines) + "\n")
-    rows = shape.attempts(records.read_records(spark, path)).collect()
+    df = shape.attempts(records.read_records(spark, path))
+    rows = df.collect()
     assert {(r.problem_id, r.variant, r.sample_idx, r.response) for r in rows} == {(1, "original", 0, "é"), (1, "original", 1, "b"), (1, "simple", 0, "flat")}
-    records.write_jsonl(spark.createDataFrame(rows), str(tmp_path / "out"))
+    records.write_jsonl(df, str(tmp_path / "out"))
     text = "".join(p.read_text() for p in (tmp_path / "out").glob("*.json"))
     assert "é" in text and '"correct":null' in text
 
