@@ -27,7 +27,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents with a score under 0.5 go.  The model learns from ``labels`` and the documents at hand."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     weights = fit_quality(docs, labels)
-    return score_quality(docs, weights).where("score >= 0.5").select(docs.columns)
+    return score_quality(docs, weights, into="__rf_score").where("__rf_score >= 0.5").drop("__rf_score")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +36,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share an id are one document, so one of them stays; rows without an id all stay.
     """
     found = near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__rf_gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("__rf_gone"), "left_anti")
     if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))

@@ -111,31 +111,30 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 10_000, epochs:
     order = F.xxhash64("label_id")
     share = min(1.0, most / max(chosen.count(), 1))
     chosen = chosen.where(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < share)  # about ``most`` small rows are broadcast
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "label", order.alias("o"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "label", order.alias("o"))
     found = rows.repartition(1).sortWithinPartitions("o", "label", "text").mapInArrow(_train(epochs), "w binary").collect()
     return np.frombuffer(found[0][0], "<f4") if found else np.zeros(DIM + 1, np.float32)
 
 
-def _score(model):
+def _score(model, into: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = model.value.astype(float)
         for whole in batches:
             for batch in steps(whole, "text"):
                 score = 1 / (1 + np.exp(-dot_products(w[:-1], w[-1], *utf8(batch.column("text")))))
-                cols = [batch.column(c) for c in batch.schema.names if c != "score"]
-                yield pa.RecordBatch.from_arrays([*cols, pa.array(score)], names=[c for c in batch.schema.names if c != "score"] + ["score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, into])
 
     return run
 
 
-def score_quality(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """``docs`` (text and any others) with ``score``: the probability of label 1.
+def score_quality(docs: DataFrame, weights: np.ndarray, into: str = "score") -> DataFrame:
+    """``docs`` (text and any others) with the probability of label 1 in the column ``into``.
 
-    Null and empty texts get the bias alone.  A column named score is replaced.
+    Null and empty texts get the bias alone.  A column of that name is replaced.
     """
-    docs = docs.drop("score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(weights)), schema)
+    docs = docs.drop(into)
+    schema = T.StructType([*docs.schema.fields, T.StructField(into, T.DoubleType())])
+    return docs.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(weights), into), schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, **options: int) -> DataFrame:

@@ -236,7 +236,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Other columns, texts without secrets and null texts stay as they are.
     """
     columns = docs.columns
-    found = SecretScan.fit(docs).spans(docs.select("*"))
+    rows = docs.select(F.struct(*columns).alias("__rf_row"), "text")  # so that no column's name matters
+    found = SecretScan.fit(rows).spans(rows)
 
     def cut(spans: Column) -> Column:
         # what stands before each span, counted from the end of all spans before it
@@ -250,7 +251,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     some = F.size("secret_spans") > 0
     found = found.withColumn("__rf_clean", F.when(some, let(F.col("secret_spans"), cut)).otherwise(F.col("text")))
-    out = {c: F.col(c) for c in columns} | {"text": F.col("__rf_clean")}
+    row = F.col("__rf_row")
+    out = {c: row[c] for c in columns} | {"text": F.col("__rf_clean")}
     if "n_chars" in columns:
-        out["n_chars"] = F.when(some, F.length("__rf_clean")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
+        out["n_chars"] = F.when(some, F.length("__rf_clean")).otherwise(row["n_chars"]).cast(docs.schema["n_chars"].dataType)
     return found.select(*[v.alias(c) for c, v in out.items()])

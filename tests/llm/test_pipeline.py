@@ -89,3 +89,15 @@ def test_empty_documents(spark, tables):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, d)
         assert out.count() == 0
+
+
+def test_columns_of_any_name_come_through(spark, tables):
+    d, _ = tables
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id < 90 or doc_id > 190")
+    for c in ("score", "label", "label_id", "secret_spans", "base_spans", "tag", "k", "size", "bucket", "component", "n"):
+        docs = docs.withColumn(c, F.lit(c))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, d)
+        assert out.columns == docs.columns
+        assert all(r.score == "score" and r.secret_spans == "secret_spans" and r.n == "n" for r in out.collect())
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() > 0
