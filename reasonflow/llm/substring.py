@@ -83,6 +83,9 @@ def _single_windows(min_words: int):
                 n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
                 flat = lists.flatten().to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(len(n)), n)
+                tags = batch.column("tag").to_numpy(zero_copy_only=False)
+                own = (flat & ((1 << TAG_BITS) - 1)) == tags[row]  # not of another text with this id
+                flat, row = flat[own], row[own]
                 run_, k = spread((flat >> TAG_BITS) & 63)
                 row, pos = row[run_], (flat >> 32)[run_] + k
                 if len(pos):
@@ -92,6 +95,29 @@ def _single_windows(min_words: int):
     return run
 
 
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Parts each document's runs into those of classes that an earlier document has, and the others.
+
+    An entry without a place says that the document is the first one of the class.
+    """
+    for batch in batches:
+        lists = batch.column("runs")
+        n = lists.value_lengths().to_numpy(zero_copy_only=False)
+        doc = np.repeat(np.arange(len(n)), n)
+        flat = lists.flatten()
+        place, label = flat.field("place"), flat.field("label").to_numpy(zero_copy_only=False)
+        told = place.is_null().to_numpy(zero_copy_only=False)
+        place = place.fill_null(0).to_numpy(zero_copy_only=False)
+        with np.errstate(over="ignore"):
+            key = mix(label.view(U64) + mix(doc.astype(U64)))
+        first = np.isin(key, key[told])
+        cols = []
+        for keep in (~first & ~told, first & ~told):
+            size = np.bincount(doc[keep], minlength=len(n))
+            cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(place[keep], pa.int64())))
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "later", "first"])
+
+
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(doc_id, place) of each run of windows that also start in a document with a smaller id.
 
@@ -109,11 +135,14 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     shared = materialise(anchors.join(many, "anchor"), "shared-anchors")
     alike = shared.where("not varied and doc_id > first_doc").select("doc_id", "place")
     varied = shared.where("varied")
-    classes = materialise(varied.groupBy("anchor", "content").agg(F.min("doc_id").alias("class_doc")), "anchor-classes")
-    judged = materialise(varied.join(classes, ["anchor", "content"]).select("doc_id", "place", (F.col("doc_id") > F.col("class_doc")).alias("later")), "classes")
-    later = judged.where("later").select("doc_id", "place")
-    kept = judged.where("not later").groupBy("doc_id", F.col("place").bitwiseAND(F.lit((1 << TAG_BITS) - 1)).alias("tag")).agg(F.collect_list("place").alias("runs"))
-    single = materialise(docs.join(kept, ["doc_id", "tag"]).select("doc_id", "tag", "text", "runs").mapInArrow(_single_windows(min_words), "w1 long, w2 long, doc_id long, place long"), "windows")
+    # each document settles which of its runs stand for their class, so no run is joined again
+    label = F.xxhash64("anchor", "content").alias("label")
+    firsts = varied.groupBy("anchor", "content").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(None).cast("bigint").alias("place"), label)
+    by_doc = varied.select("doc_id", "place", label).unionByName(firsts).groupBy("doc_id").agg(F.collect_list(F.struct("place", "label")).alias("runs"))
+    settled = materialise(by_doc.mapInArrow(_settle, "doc_id long, later array<long>, first array<long>"), "settled")
+    later = settled.select("doc_id", F.explode("later").alias("place"))
+    kept = settled.where("size(first) > 0").select("doc_id", F.col("first").alias("runs"))
+    single = materialise(docs.join(kept, "doc_id").select("doc_id", "tag", "text", "runs").mapInArrow(_single_windows(min_words), "w1 long, w2 long, doc_id long, place long"), "windows")
     least = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     least = materialise(least, "repeated-windows")
     exact = single.join(least, ["w1", "w2"]).where("doc_id > least").select("doc_id", "place")
