@@ -129,3 +129,10 @@ def test_dag_replies(spark):
     assert len(got[1]) == 1 and got[2:] == [None] * 4
     assert apply(spark, merge_error, ['{"a":1}', "oops"]) == [None, "JSON parse error"]
     assert apply(spark, lambda x: validation_error(parse_dag(x), F.lit(2)), [whole])[0] == "expected 2 entries, got 1"
+
+
+def test_small_forms(spark):
+    assert apply(spark, N.plain_prediction, ["[1,2]", "3.50", "(x)", "\\frac{1}{2}", None]) == ["1,2", "3.5", "x", "\\frac12", None]
+    assert apply(spark, lambda x: A.run_answer(x, "cot"), ["so \\boxed{2}", "error", "", None]) == ["2", None, None, None]
+    assert apply(spark, lambda x: A.run_answer(x, "program_only"), ["```output\n7.\n```"]) == ["7"]
+    assert apply(spark, lambda x: K.preview(x, 3), ["abcd", "abc"]) == ["abc...", "abc"]
