@@ -10,7 +10,6 @@ Ids are stored as uint16 where the vocabulary allows, else as uint32.
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 import uuid
 import zlib
