@@ -30,7 +30,7 @@ from .workspace import materialise
 SEED = 20
 TAG_BITS = 26  # tells apart rows that share a doc_id
 BASES = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)
-RANGES = "__rf_ranges"
+RANGES, TAG = "__rf_ranges", "__rf_tag"
 
 
 def tag(text: Column) -> Column:
@@ -119,11 +119,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc_id, place) of each run of windows that also start in a document with a smaller id.
+    """(doc_id, places): runs of windows that also start in a document with a smaller id, in any number of lists a document.
 
     ``docs`` has doc_id and text.  A null id has no order: such rows neither repeat
     others nor are repeated.  Rows that share an id don't repeat each other.
-    ``place`` packs the first word (32 bits), the number of windows and a tag of the text.
+    A place packs the first word (32 bits), the number of windows and a tag of the text.
     """
     if not SEED < min_words < SEED + 62:
         raise ValueError(f"min_words must be over {SEED} and under {SEED + 62}")
@@ -140,29 +140,30 @@ def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
     firsts = varied.groupBy("anchor", "content").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(None).cast("bigint").alias("place"), label)
     by_doc = varied.select("doc_id", "place", label).unionByName(firsts).groupBy("doc_id").agg(F.collect_list(F.struct("place", "label")).alias("runs"))
     settled = materialise(by_doc.mapInArrow(_settle, "doc_id long, later array<long>, first array<long>"), "settled")
-    later = settled.select("doc_id", F.explode("later").alias("place"))
+    later = settled.where("size(later) > 0").select("doc_id", F.col("later").alias("places"))
     kept = settled.where("size(first) > 0").select("doc_id", F.col("first").alias("runs"))
     single = materialise(docs.join(kept, "doc_id").select("doc_id", "tag", "text", "runs").mapInArrow(_single_windows(min_words), "w1 long, w2 long, doc_id long, place long"), "windows")
     least = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
     least = materialise(least, "repeated-windows")
     exact = single.join(least, ["w1", "w2"]).where("doc_id > least").select("doc_id", "place")
-    return alike.unionByName(later).unionByName(exact)
+    return alike.unionByName(exact).select("doc_id", F.array("place").alias("places")).unionByName(later)
 
 
 def _with_ranges(docs: DataFrame, min_words: int) -> DataFrame:
     """``docs`` (doc_id, text and others) with the runs of each row."""
     runs = repeated_runs(docs.select("doc_id", "text"), min_words)
-    mask = F.lit((1 << TAG_BITS) - 1)
-    by_doc = runs.groupBy("doc_id", F.col("place").bitwiseAND(mask).alias("__rf_tag")).agg(F.collect_list("place").alias(RANGES)).withColumnRenamed("doc_id", "__rf_id")
-    on = (F.col("doc_id") == F.col("__rf_id")) & (tag(F.col("text")) == F.col("__rf_tag"))
-    return docs.join(by_doc, on, "left").drop("__rf_id", "__rf_tag")
+    by_doc = runs.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias(RANGES)).withColumnRenamed("doc_id", "__rf_id")
+    return docs.withColumn(TAG, tag(F.col("text"))).join(by_doc, F.col("doc_id") == F.col("__rf_id"), "left").drop("__rf_id")
 
 
-def _covered(lists: pa.Array, before: np.ndarray, min_words: int) -> np.ndarray:
+def _covered(batch: pa.RecordBatch, before: np.ndarray, min_words: int) -> np.ndarray:
     """Which words of the batch are in a repeated window."""
+    lists = batch.column(RANGES)
     n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    flat = lists.flatten().to_numpy(zero_copy_only=False)
-    first = before[np.repeat(np.arange(len(n)), n)] + (flat >> 32)
+    row, flat = np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy(zero_copy_only=False)
+    own = (flat & ((1 << TAG_BITS) - 1)) == batch.column(TAG).to_numpy(zero_copy_only=False)[row]  # not of another text with this id
+    row, flat = row[own], flat[own]
+    first = before[row] + (flat >> 32)
     edge = np.zeros(int(before[-1]) + 1, np.int32)
     np.add.at(edge, first, 1)
     np.add.at(edge, first + ((flat >> TAG_BITS) & 63) + min_words - 1, -1)
@@ -191,20 +192,20 @@ def substring_digests(docs: DataFrame, min_words: int = 50) -> DataFrame:
             for batch in steps(whole, "text"):
                 data, offsets = utf8(batch.column("text"))
                 starts, ends, before = words(data, offsets)
-                gone = _covered(batch.column(RANGES), before, min_words)
+                gone = _covered(batch, before, min_words)
                 kept, at = _kept_texts(data, offsets, starts, ends, before, gone)
                 lost = np.diff(np.r_[0, np.cumsum(gone)][before])
                 sha = [hashlib.sha256(kept[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(before)), pa.array(lost), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = _with_ranges(docs.select(F.col("doc_id").cast("long"), "text"), min_words).select("doc_id", "text", RANGES)
+    rows = _with_ranges(docs.select(F.col("doc_id").cast("long"), "text"), min_words).select("doc_id", "text", TAG, RANGES)
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Maximal repeats: doc_id, first word, end word (exclusive); at least ``min_words`` long."""
     mask = F.lit((1 << TAG_BITS) - 1)
-    runs = repeated_runs(docs.select(F.col("doc_id").cast("long"), "text"), min_words)
+    runs = repeated_runs(docs.select(F.col("doc_id").cast("long"), "text"), min_words).select("doc_id", F.explode("places").alias("place"))
     spans = F.array_sort(F.collect_list(F.struct(F.shiftright("place", 32).alias("first_word"), (F.shiftright("place", 32) + F.shiftright("place", TAG_BITS).bitwiseAND(F.lit(63)) + min_words - 1).alias("end_word"))))
     per = runs.groupBy("doc_id", F.col("place").bitwiseAND(mask).alias("tag")).agg(spans.alias("s"))
     merged = F.expr("""aggregate(slice(s, 2, size(s)), slice(s, 1, 1), (acc, x) ->
@@ -228,7 +229,7 @@ def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
             for batch in steps(whole, "text"):
                 data, offsets = utf8(batch.column("text"))
                 starts, ends, before = words(data, offsets)
-                gone = _covered(batch.column(RANGES), before, min_words)
+                gone = _covered(batch, before, min_words)
                 lost = np.diff(np.r_[0, np.cumsum(gone)][before])
                 old = batch.column("text").to_pylist()
                 if lost.any():
