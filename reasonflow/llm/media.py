@@ -2,10 +2,11 @@
 
 A payload becomes a WAV file of one channel of unsigned 8-bit samples.  A rolling gear hash
 over 32 bytes cuts it where its upper bits are zero, so equal stretches of different media cut
-alike.  Only digests are joined to find chunks that several media share: the medium with the
-least key keeps such a chunk, the others keep a reference.  Reading back takes own chunks
-from the medium and the others from the chunk store by join, in the order of the
-chunk list, and checks every digest.  Nothing but shared chunks leaves a medium.
+alike.  Digests are joined to find chunks that several media share.  What is written is each
+distinct chunk once, those of one medium with that medium and shared ones in the chunk
+store, and for each medium the ordered list of its chunks' digests.  Reading back has these
+tables alone: own chunks come from the medium's row, shared ones by join from the
+store, the list puts them in order, and every digest, that of the whole too, is checked.
 """
 
 from __future__ import annotations
@@ -96,7 +97,8 @@ def _list_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary())], names=["k", "digest"])
 
 
-def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Media on their way to the list of their shared chunks."""
     import zstandard
 
     packer = zstandard.ZstdCompressor(level=6)
@@ -122,9 +124,6 @@ class _Described:
         payload = from_wav(media)
         self.rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), features(payload), len(parts), shared))
 
-    def skip(self) -> None:
-        self.rows.append((None,) * len(self.NAMES))
-
     def arrays(self) -> list[pa.Array]:
         return [pa.array([r[i] for r in self.rows], t) for i, t in enumerate(self.TYPES)]
 
@@ -133,68 +132,77 @@ def _pieces(media: bytes, cuts: list[int]) -> list[bytes]:
     return [media[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
 
-DONE, LENT, WAITS = 0, 1, 2
-OPENED = f"kind int, doc_id long, n_bytes long, {_Described.DDL}, k long, packed binary, borrowed array<binary>, digest binary, chunk binary"
+OWN, LENT, BORROWED = 0, 1, 2  # where a chunk of a list is: with its medium, or in the store by this medium or another
+STORED = {
+    "doc_id": pa.int64(), "n_bytes": pa.int64(), "k": pa.int64(), "list": pa.list_(pa.binary()), "places": pa.binary(), "whole": pa.binary(),
+    "own": pa.binary(), "sizes": pa.list_(pa.int32()), "digest": pa.binary(), "chunk": pa.binary(),
+}
+STORED_DDL = "doc_id long, n_bytes long, k long, list array<binary>, places binary, whole binary, own binary, sizes array<int>, digest binary, chunk binary"
+MEDIUM = ["doc_id", "n_bytes", "k", "list", "places", "whole", "own", "sizes"]
+SLICE = 200
+
 
+def _stored(**columns: list) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], t) if c in columns else pa.nulls(n, t) for c, t in STORED.items()], names=list(STORED))
 
-def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reads back media that borrow nothing, passes on the others, and gives out the chunks that others borrow."""
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of media, without the bytes of their shared chunks, and rows of the store, which have a digest."""
     import zstandard
 
     packer, unpacker = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
-    names = [x.split()[0] for x in OPENED.split(", ")]
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 200):
-            batch = whole.slice(lo, 200)
-            n = batch.num_rows
-            packed, borrowed = batch.column("packed").to_pylist(), batch.column("borrowed").to_pylist()
-            media = [unpacker.decompress(x) for x in packed]
-            told, lent, chunks = _Described(), [], []
-            for m, cuts, b, wanted in zip(media, cut(media), borrowed, batch.column("lent").to_pylist(), strict=True):
+    last, given = None, set()  # repeated rows have one key and follow each other: their chunks are given out once
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            rows = batch.slice(lo, SLICE).to_pylist()
+            media = [unpacker.decompress(x["packed"]) for x in rows]
+            out, digests, chunks = {c: [] for c in MEDIUM}, [], []
+            for x, m, cuts in zip(rows, media, cut(media), strict=True):
+                if x["k"] != last:
+                    last, given = x["k"], set()
+                shared, lent = set(x["shared"] or ()), set(x["lent"] or ())
                 parts = _pieces(m, cuts)
-                if b:
-                    told.skip()
-                else:
-                    told.add(parts, 0)
-                wanted = set(wanted or ())
-                for part in parts if wanted else ():
-                    d = digest(part)
-                    if d in wanted:
-                        wanted.remove(d)
-                        lent.append(d)
+                order, own = [digest(part) for part in parts], {}
+                for d, part in zip(order, parts, strict=True):
+                    if d not in shared:
+                        own[d] = part
+                    elif d in lent and d not in given:
+                        given.add(d)
+                        digests.append(d)
                         chunks.append(packer.compress(part))
-            kind = pa.array([WAITS if b else DONE for b in borrowed], pa.int32())
-            kept = pa.array([x if b else None for x, b in zip(packed, borrowed, strict=True)], pa.binary())
-            none = pa.nulls(n, pa.binary())
-            lists = pa.array([b or None for b in borrowed], pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([kind, batch.column("doc_id"), batch.column("n_bytes"), *told.arrays(), batch.column("k"), kept, lists, none, none], names=names)
-            if lent:
-                n = len(lent)
-                blank = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), *_Described.TYPES, pa.int64(), pa.binary(), pa.list_(pa.binary()))]
-                yield pa.RecordBatch.from_arrays([pa.array([LENT] * n, pa.int32()), *blank, pa.array(lent, pa.binary()), pa.array(chunks, pa.binary())], names=names)
-
-
-def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                places = bytes(OWN if d not in shared else LENT if d in lent else BORROWED for d in order)
+                row = (x["doc_id"], x["n_bytes"], x["k"], order, places, digest(m), packer.compress(b"".join(own.values())), [len(c) for c in own.values()])
+                for c, v in zip(MEDIUM, row, strict=True):
+                    out[c].append(v)
+            yield _stored(**out)
+            if digests:
+                yield _stored(digest=digests, chunk=chunks)
+
+
+def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import zstandard
 
     unpacker = zstandard.ZstdDecompressor()
-    for whole in batches:
-        for lo in range(0, whole.num_rows, 200):
-            batch = whole.slice(lo, 200)
-            own = [unpacker.decompress(x) for x in batch.column("packed").to_pylist()]
-            told = _Described()
-            for m, cuts, fetched in zip(own, cut(own), batch.column("fetched").to_pylist(), strict=True):
-                chunks = {x["digest"]: x["chunk"] for x in fetched}
-                parts, shared = _pieces(m, cuts), 0
-                for i, part in enumerate(parts):
-                    d = digest(part)
-                    if d in chunks:
-                        parts[i] = unpacker.decompress(chunks[d])
-                        shared += 1
-                        if digest(parts[i]) != d:
-                            raise ValueError("a stored chunk doesn't match its digest")
-                told.add(parts, shared)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *told.arrays()], names=["doc_id", "n_bytes", *_Described.NAMES])
+    for batch in batches:
+        for lo in range(0, batch.num_rows, SLICE):
+            rows, told = batch.slice(lo, SLICE).to_pylist(), _Described()
+            for x in rows:
+                chunks = {}
+                for f in x["fetched"] or ():
+                    chunks[f["digest"]] = unpacker.decompress(f["chunk"])
+                own, ends = unpacker.decompress(x["own"]), np.cumsum(x["sizes"]).tolist()
+                own_digests = dict.fromkeys(d for d, place in zip(x["list"], x["places"], strict=True) if place == OWN)
+                chunks |= zip(own_digests, _pieces(own, ends), strict=True)
+                if any(digest(c) != d for d, c in chunks.items()):
+                    raise ValueError("a stored chunk doesn't match its digest")
+                if not chunks.keys() >= set(x["list"]):
+                    raise ValueError("a chunk isn't in the store")
+                parts = [chunks[d] for d in x["list"]]
+                if digest(b"".join(parts)) != x["whole"]:
+                    raise ValueError("a rebuilt medium doesn't match its digest")
+                told.add(parts, x["places"].count(BORROWED))
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], pa.int64()) for c in ("doc_id", "n_bytes")] + told.arrays(), names=["doc_id", "n_bytes", *_Described.NAMES])
 
 
 def chunk_digests(docs: DataFrame) -> DataFrame:
@@ -202,6 +210,33 @@ def chunk_digests(docs: DataFrame) -> DataFrame:
     return docs.select("k", "text").mapInArrow(_list_digests, "k long, digest binary")
 
 
+def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Writes the media of ``docs`` (doc_id, text) as two tables: media with their chunk lists and own chunks, and the store of shared ones (digest, chunk)."""
+    # the key only has to be the same each time and spread well: what meets by chance does no harm, as digests decide
+    docs = docs.withColumn("k", F.xxhash64("doc_id", "text"))
+    chunks = chunk_digests(docs)
+    shared = materialise(chunks.groupBy("digest").agg(F.min("k").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner"), "shared-chunks")
+    held = chunks.join(shared.hint("merge"), "digest").select("k", "digest", F.when(F.col("k") == F.col("owner"), F.col("digest")).alias("lent"))
+    links = held.groupBy("k").agg(F.collect_set("digest").alias("shared"), F.collect_set("lent").alias("lent"))  # a medium's own chunks at most
+    packed = docs.mapInArrow(_pack, "doc_id long, k long, n_bytes long, packed binary")
+    split = packed.join(links.hint("merge"), "k", "left").select("doc_id", "k", "n_bytes", "packed", "shared", "lent").mapInArrow(_split, STORED_DDL)
+    written = materialise(split, "media-chunks")
+    return written.where("digest IS NULL").select(MEDIUM), written.where("digest IS NOT NULL").select("digest", "chunk")
+
+
+def read_media(media: DataFrame, store: DataFrame) -> DataFrame:
+    """Rebuilds every medium from the two tables of ``store_media`` and describes it."""
+    ddl = f"doc_id long, n_bytes long, {_Described.DDL}"
+    rows = media.select(*MEDIUM, F.expr(f"hex(places) RLIKE '^(0{OWN})*$'").alias("alone"))
+    waits = rows.where("NOT alone").drop("alone")
+    elsewhere = F.filter("list", lambda _, i: F.substring("places", i + 1, F.lit(1)) != F.unhex(F.lit(f"0{OWN}")))
+    wanted = waits.select("k", F.explode(elsewhere).alias("digest")).distinct()
+    fetched = wanted.join(store.dropDuplicates(["digest"]), "digest").groupBy("k").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
+    late = waits.join(fetched, "k", "left").select(*MEDIUM, "fetched").mapInArrow(_rebuild, ddl)
+    none = F.lit(None).cast("array<struct<digest:binary,chunk:binary>>").alias("fetched")
+    return rows.where("alone").select(*MEDIUM, none).mapInArrow(_rebuild, ddl).unionByName(late)
+
+
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Stores every text of ``docs`` as a medium, reads all back and describes what was read.
 
@@ -210,22 +245,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     or empty text has a payload of spaces; repeated rows are media of their own; a null
     id stays null; an empty table gives an empty result.
 
-    Media move once, to meet the list of their shared chunks; those that borrow any
+    Media move once, to meet the list of their shared chunks; those that have any
     move a second time, to meet the chunks.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    # the key only has to be the same each time and spread well: what meets by chance does no harm, as digests decide
-    docs = docs.withColumn("k", F.xxhash64("doc_id", "text"))
-    chunks = chunk_digests(docs)
-    shared = materialise(chunks.groupBy("digest").agg(F.min("k").alias("owner"), F.max("k").alias("other")).where("owner < other").select("digest", "owner"), "shared-chunks")
-    borrows = chunks.join(shared.hint("merge"), "digest").where("k > owner").select("k", F.lit(None).cast("binary").alias("lent"), F.col("digest").alias("borrowed"))
-    lends = shared.select(F.col("owner").alias("k"), F.col("digest").alias("lent"), F.lit(None).cast("binary").alias("borrowed"))
-    links = lends.unionByName(borrows).groupBy("k").agg(F.collect_list("lent").alias("lent"), F.collect_list("borrowed").alias("borrowed"))  # a medium's own chunks at most
-    stored = docs.mapInArrow(_store, "doc_id long, k long, n_bytes long, packed binary")
-    opened = materialise(stored.join(links.hint("merge"), "k", "left").select("doc_id", "k", "n_bytes", "packed", "lent", "borrowed").mapInArrow(_open, OPENED), "opened")
-    told = ["doc_id", "n_bytes", *_Described.NAMES]
-    store = opened.where(F.col("kind") == LENT).select("digest", "chunk").dropDuplicates(["digest"])
-    waits = opened.where(F.col("kind") == WAITS)
-    fetched = waits.select("k", F.explode("borrowed").alias("digest")).distinct().join(store, "digest").groupBy("k").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
-    late = waits.select("doc_id", "n_bytes", "k", "packed").join(fetched, "k").mapInArrow(_read_back, f"doc_id long, n_bytes long, {_Described.DDL}")
-    return opened.where(F.col("kind") == DONE).select(told).unionByName(late.select(told))
+    return read_media(*store_media(docs))

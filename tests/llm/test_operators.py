@@ -243,6 +243,32 @@ def test_media_round_trip(docs, rows, empty):
     assert media.media_columns(empty).count() == 0
 
 
+def test_media_are_rebuilt_from_chunks_stored_once(docs, rows):
+    import zstandard
+
+    unpack = zstandard.ZstdDecompressor().decompress
+    stored, store = media.store_media(docs.select("doc_id", "text"))
+    found, shared = stored.collect(), store.collect()
+    assert all(media.digest(unpack(x.chunk)) == x.digest for x in shared)
+    digests = [bytes(x.digest) for x in shared]
+    for x in found:
+        own, at = unpack(x.own), 0
+        for n in x.sizes:
+            digests.append(media.digest(own[at : at + n]))
+            at += n
+        assert at == len(own)
+    assert len(digests) == len(set(digests))
+    assert {bytes(d) for x in found for d in x.list} == set(digests) and len(shared) > 0
+    told = {r.doc_id: r.media_sha256 for r in media.read_media(stored, store).collect()}
+    assert told == {i: hashlib.sha256(media.to_wav(media.pad((t or "").encode()))).hexdigest() for i, t in rows}
+    with pytest.raises(Exception, match="a chunk isn't in the store"):
+        media.read_media(stored, store.where("false")).collect()
+    with pytest.raises(Exception, match="a stored chunk doesn't match its digest"):
+        media.read_media(stored, store.withColumn("chunk", F.lit(zstandard.compress(b"other")))).collect()
+    with pytest.raises(Exception, match="a rebuilt medium doesn't match its digest"):
+        media.read_media(stored.withColumn("whole", F.lit(b"x")), store).collect()
+
+
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     body = rng.integers(0, 256, 60_000, dtype=np.uint8).tobytes()
