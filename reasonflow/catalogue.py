@@ -237,7 +237,7 @@ def parse_sample_key(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {IDS} SELECT event_id, problem, number, row_number() OVER (ORDER BY number, event_id) AS rank FROM n WHERE event_id < 2000 ORDER BY rank")
 def sorted_ids(spark: SparkSession, d: str) -> DataFrame:
     """The rank is for the check of the order; sorting itself needs none."""
-    rows = D.ids(spark, d).where("event_id < 2000")
+    rows = D.ids(spark, d)
     spread = rows.groupBy("number").agg(F.count("*").alias("n"))
     before = spread.select("number", (F.sum("n").over(Window.orderBy("number")) - F.col("n")).alias("before"))
     ranked = rows.join(before, "number").withColumn("rank", F.col("before") + F.row_number().over(Window.partitionBy("number").orderBy("event_id")))
