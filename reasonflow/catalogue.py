@@ -486,7 +486,7 @@ def dependency_table(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ged_similarity(spark: SparkSession, d: str) -> DataFrame:
-    return D.dag_pairs(spark, d).withColumn("s", dags.ged_similarity(most=20_000)("a", "b")).select("conv_id", "s.*")
+    return D.dag_pairs(spark, d).withColumn("s", dags.ged_similarity()("a", "b")).select("conv_id", "s.*")
 
 
 @query(
@@ -726,8 +726,9 @@ def dependency_kinds(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def ged_training_set(spark: SparkSession, d: str) -> DataFrame:
-    """Graphs of conversations through edit distances to selected and split training rows."""
-    g = D.dags(spark, d).withColumn("p", (F.col("conv_id") % 5).cast("string")).withColumn("i", (F.col("conv_id") / 5).cast("int"))
-    graphs = g.select(F.col("p").alias("problem_id"), F.when(F.col("i") == 0, "original").when(F.col("i") % 2 == 0, "simple").otherwise("hard").alias("variant"), F.when(F.col("i") == 0, 0).otherwise(F.col("i")).alias("sample_idx"), "dag", F.col("conv_id").alias("position"))
+    """Graphs of conversations through edit distances to selected and split training rows; 51 conversations, an original and its variants, are a problem."""
+    g = D.dags(spark, d).withColumn("p", F.floor(F.col("conv_id") / 51))
+    g = g.withColumn("i", F.row_number().over(Window.partitionBy("p").orderBy("conv_id")) - 1).withColumn("p", F.col("p").cast("string"))
+    graphs = g.select(F.col("p").alias("problem_id"), F.when(F.col("i") == 0, "original").when(F.col("i") % 2 == 0, "simple").otherwise("hard").alias("variant"), F.col("i").alias("sample_idx"), "dag", F.col("conv_id").alias("position"))
     labels = graphs.select("problem_id", "variant", "sample_idx", F.lit("p").alias("problem"), F.lit("r").alias("response"), F.lit(True).alias("correct"))
-    return analyses.training_set(analyses.ged_analysis(graphs, labels, most=20_000), min_range=0.0)
+    return analyses.training_set(analyses.ged_analysis(graphs, labels), min_range=0.0)

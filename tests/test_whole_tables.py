@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reasonflow.catalogue import QUERIES
+from reasonflow.operators import dags
 
 
 def test_sorted_ids_ranks_every_row(spark, tmp_path):
@@ -14,3 +15,23 @@ def test_sorted_ids_ranks_every_row(spark, tmp_path):
     assert {r.event_id for r in got} == set(range(5000))
     assert [r.rank for r in got] == list(range(1, 5001))
     assert [(r.number, r.event_id) for r in got] == sorted((r.number, r.event_id) for r in got)
+
+
+def conversations(spark, path, n, turns):
+    rows = spark.range(n).select(F.col("id").alias("conv_id"), F.explode(F.sequence(F.lit(0), turns - 1)).alias("turn"))
+    rows.select("conv_id", F.col("turn").cast("bigint"), F.lit("user").alias("role"), F.concat(F.lit("step "), F.col("turn").cast("string")).alias("text")).write.parquet(f"{path}/conversations.parquet")
+
+
+def test_training_set_grows_with_the_table(spark, tmp_path, monkeypatch):
+    used, make = [], dags.ged_similarity
+
+    def spy(compressed=True, most=None):
+        used.append(most)
+        return make(compressed, 200_000 if most is None else most)
+
+    monkeypatch.setattr(dags, "ged_similarity", spy)
+    conversations(spark, tmp_path, 51 * 12, (F.col("id") % 3 + 1).cast("int"))
+    rows = QUERIES["ged_training_set"](spark, str(tmp_path)).collect()
+    assert len(rows) == 12 * 2 * 5 and len({r.problem_id for r in rows}) == 12
+    QUERIES["ged_similarity"](spark, str(tmp_path))
+    assert set(used) <= {None, 200_000} and len(used) == 2
