@@ -318,7 +318,7 @@ def merge_batch(spark: SparkSession, d: str) -> DataFrame:
 )
 def parse_dag_json(spark: SparkSession, d: str) -> DataFrame:
     whole = F.to_json("dag")
-    cut = F.regexp_replace(whole, r'\},\{"step_id":\d+,"analysis":[^}]*\}\]$', '},{"step_id":99,"dep')
+    cut = F.concat(F.regexp_replace(F.to_json(F.slice("dag", F.lit(1), F.size("dag") - 1)), r"\]$", ""), F.lit(',{"step_id":99,"dep'))
     cut = F.when(F.size("dag") == 1, F.lit('[{"step_id":1')).otherwise(cut)
     text = F.when(F.col("conv_id") % 4 == 0, whole).when(F.col("conv_id") % 4 == 1, F.concat(F.lit("  ```json\n"), whole, F.lit("\n```  "))).when(F.col("conv_id") % 4 == 2, cut).otherwise(F.lit('{"a": 1}'))
     n = lambda repair: F.nullif(F.size(parse_dag(F.col("content"), repair)), F.lit(-1)).cast("bigint")

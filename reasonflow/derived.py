@@ -86,7 +86,7 @@ def dags(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("turn").cast("string")
     deps = F.when(F.col("turn") == 0, F.array(F.lit("0"))).when((step % 2 == 0) & (step > 2), F.array(t, F.floor(step / 2).cast("string"))).otherwise(F.array(t))
     deps = F.concat(deps, F.when(F.length("text") % 5 == 0, F.array(F.lit("External"))).otherwise(F.array().cast("array<string>")))
-    entry = F.struct(step.alias("step_id"), F.substring("text", 1, 40).alias("analysis"), deps.alias("depends_on"), F.element_at(tags, F.length("text") % 6 + 1).alias("macro_action_tag"))
+    entry = F.struct(step.alias("step_id"), F.col("text").alias("analysis"), deps.alias("depends_on"), F.element_at(tags, F.length("text") % 6 + 1).alias("macro_action_tag"))
     return table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(entry)).alias("dag"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import html
+
 from pyspark.sql import functions as F
 
+from reasonflow import derived
 from reasonflow.catalogue import QUERIES
 from reasonflow.operators import dags
 
@@ -35,3 +38,22 @@ def test_training_set_grows_with_the_table(spark, tmp_path, monkeypatch):
     assert len(rows) == 12 * 2 * 5 and len({r.problem_id for r in rows}) == 12
     QUERIES["ged_similarity"](spark, str(tmp_path))
     assert set(used) <= {None, 200_000} and len(used) == 2
+
+
+def test_graphs_have_whole_texts(spark, tmp_path):
+    odd = "x" * 45 + """ "quoted" it's {a: [1]}, <b>&amp;</b> \\ \n``` end }] """
+    rows = [(c, t, "user", f"{c}.{t} {odd}{t}") for c in range(8) for t in range(c % 4 + 1)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    texts = {(c, t + 1): x for c, t, _, x in rows}
+    got = {(r.conv_id, e.step_id): e.analysis for r in derived.dags(spark, str(tmp_path)).collect() for e in r.dag}
+    assert got == texts
+    for r in QUERIES["dependency_table"](spark, str(tmp_path)).collect():
+        assert all(html.escape(x).replace("&#x27;", "&#39;") in r.html for (c, _), x in texts.items() if c == r.conv_id)
+    for r in QUERIES["parse_dag_json"](spark, str(tmp_path)).collect():
+        n = r.conv_id % 4 + 1
+        assert r.n_repaired == {0: n, 1: n, 2: n - 1, 3: None}[r.conv_id % 4] and r.n_strict == (n if r.conv_id % 4 < 2 else None)
+    for r in QUERIES["merge_batch"](spark, str(tmp_path)).collect():
+        assert r.n_entries == (r.conv_id % 4 + 1 if r.conv_id % 5 > 1 else None)
+    for r in QUERIES["dag_compress"](spark, str(tmp_path)).collect():
+        joined = " | ".join(e.analysis or "" for e in r.dag)
+        assert r.error is None and (r.folded > 0 or all(x in joined for (c, _), x in texts.items() if c == r.conv_id))
