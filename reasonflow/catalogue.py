@@ -395,7 +395,7 @@ DEPTH = f"""{D.DAGS_REC},
 @query(DEPTH)
 def dag_depth_width(spark: SparkSession, d: str) -> DataFrame:
     e = D.entries(spark, d)
-    return dags.longest_paths(dags.nodes(e, "conv_id"), dags.edges(e, "conv_id"), "conv_id", 64)
+    return dags.longest_paths(dags.nodes(e, "conv_id"), dags.edges(e, "conv_id"), "conv_id")
 
 
 @query(DEPTH.replace("max(n)::BIGINT", "max(n)::INTEGER"))

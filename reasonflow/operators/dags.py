@@ -43,24 +43,29 @@ def nodes(entries: DataFrame, key: str, external: bool = True) -> DataFrame:
     return seen.groupBy(key, "node").agg(F.min_by(F.struct("tag"), "at")["tag"].alias("tag")).select(key, "node", kind.alias("kind"), "tag")
 
 
-def longest_paths(nodes: DataFrame, edges: DataFrame, key: str, most: int = 100) -> DataFrame:
-    """(key, depth, width) from tables, by one recursive query for all graphs.
+def longest_paths(nodes: DataFrame, edges: DataFrame, key: str) -> DataFrame:
+    """(key, depth, width) from tables; (0, 0) for cyclic graphs.
 
-    A graph whose paths go beyond ``most`` edges counts as cyclic and has (0, 0).
+    Layers are found in the exact kernel: a recursive query has a row for each path, which
+    Spark ends at a million rows of all graphs together.
     """
-    spark = nodes.sparkSession
-    nodes.select(key, "node").createOrReplaceTempView("_rf_nodes")
-    edges.select(key, "src", "dst").createOrReplaceTempView("_rf_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE level(g, node, d) AS (
-            SELECT {key}, node, 0 FROM _rf_nodes
-            UNION ALL
-            SELECT l.g, e.dst, l.d + 1 FROM level l JOIN _rf_edges e ON e.{key} = l.g AND e.src = l.node WHERE l.d < {most}),
-        deepest AS (SELECT g, node, max(d) AS d FROM (SELECT DISTINCT g, node, d FROM level) GROUP BY g, node),
-        wide AS (SELECT g, d, count(*) AS n FROM deepest GROUP BY g, d)
-        SELECT g AS {key}, CASE WHEN max(d) >= {most} THEN 0 ELSE max(d) END AS depth,
-               CASE WHEN max(d) >= {most} THEN 0 ELSE max(n) END AS width
-        FROM wide GROUP BY g""")
+    steps = nodes.groupBy(key).agg(F.collect_list("node").alias("nodes"))
+    links = edges.groupBy(key).agg(F.collect_list("src").alias("src"), F.collect_list("dst").alias("dst"))
+    found = F.pandas_udf(_table_depth_width, "struct<depth:int,width:bigint>")("nodes", "src", "dst")
+    return steps.join(links, key, "left").select(key, found.alias("x")).select(key, "x.*")
+
+
+def _table_depth_width(tables: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for batch in tables:
+        out = []
+        for nodes, src, dst in zip(*batch, strict=True):
+            g = kernel.Graph()
+            for node in nodes:
+                g.add(node, kernel.Node(None))
+            for a, b in zip(_rows(src), _rows(dst), strict=True):
+                g.link(a, b)
+            out.append(kernel.depth_width(g))
+        yield pd.DataFrame(out, columns=["depth", "width"])
 
 
 def _rows(dag: list | None) -> list[dict]:

@@ -57,3 +57,15 @@ def test_graphs_have_whole_texts(spark, tmp_path):
     for r in QUERIES["dag_compress"](spark, str(tmp_path)).collect():
         joined = " | ".join(e.analysis or "" for e in r.dag)
         assert r.error is None and (r.folded > 0 or all(x in joined for (c, _), x in texts.items() if c == r.conv_id))
+
+
+def test_long_chains_have_their_depth(spark, tmp_path):
+    rows = [(c, t, "user", "x" * 6) for c, n in ((1, 150), (2, 65), (3, 12), (4, 11), (5, 3)) for t in range(n)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got, exact = ({r.conv_id: (r.depth, r.width) for r in QUERIES[q](spark, str(tmp_path)).collect()} for q in ("dag_depth_width", "dag_depth_width_kernel"))
+    assert got == exact == {1: (150, 1), 2: (65, 1), 3: (12, 1), 4: (11, 1), 5: (3, 1)}
+    schema = "g int, node string", "g int, src string, dst string"
+    nodes = [(g, str(i)) for g, n in ((1, 4), (2, 40)) for i in range(n)]
+    edges = [(g, str(i), str((i + 1) % n)) for g, n in ((1, 4), (2, 40)) for i in range(n)]
+    cyclic = dags.longest_paths(spark.createDataFrame(nodes, schema[0]), spark.createDataFrame(edges, schema[1]), "g").collect()
+    assert {(r.g, r.depth, r.width) for r in cyclic} == {(1, 0, 0), (2, 0, 0)}
