@@ -33,10 +33,20 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}" if not uri.startswith("file:") else "file://" + uri[5:])
 
 
+def dictionary_sample(docs: DataFrame, samples: int, longest: int) -> DataFrame:
+    """At most ``samples`` texts of ``docs`` (doc_id, text), drawn by row; of a longer text a slice of ``longest`` characters, drawn too."""
+    share = min(1.0, 1.1 * samples / max(docs.count(), 1))
+    rows = docs.where(F.length("text") > 0).withColumn("draw", F.xxhash64("doc_id", "text"))
+    some = rows.where(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < share)
+    nth = F.pmod(F.xxhash64("draw"), F.ceil(F.length("text") / longest))
+    return some.orderBy(F.pmod("draw", F.lit(1 << 30)), "draw").limit(samples).select(F.substring("text", (nth * longest + 1).cast("int"), F.lit(longest)).alias("text"))
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, end: int, samples: int = 2000, longest: int = 16_384, size: int = 65_536) -> bytes:
-    """A zstandard dictionary fitted on serialized ids of about ``samples`` documents of at most ``longest`` characters.
+    """A zstandard dictionary fitted on serialized ids of at most ``samples`` documents, or slices of ``longest`` characters of them.
 
-    The sample is the documents whose hash is low enough, so it does not depend on order.
+    The sample is the rows of the lowest hashes, so it does not depend on order and copies don't add to it.
+    One task trains in memory, so the sample has to be bounded.
     Too little data to train on: an empty dictionary (frames are then plain).
     """
     dtype = id_type(tokenizer)
@@ -56,10 +66,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end: int, samples: int = 2
                 trained = b""
         yield pa.RecordBatch.from_arrays([pa.array([trained], pa.binary())], names=["dictionary"])
 
-    share = min(1.0, samples / max(docs.count(), 1))
-    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    chosen = docs.select("text").where((F.length("text") > 0) & (F.length("text") <= longest) & (draw < share))
-    found = chosen.repartition(1).sortWithinPartitions("text").mapInArrow(run, "dictionary binary").collect()
+    found = dictionary_sample(docs, samples, longest).repartition(1).sortWithinPartitions("text").mapInArrow(run, "dictionary binary").collect()
     return bytes(found[0][0]) if found else b""
 
 
