@@ -136,13 +136,14 @@ class PieceEncoder:
         if len(new):
             _, where, back = np.unique(h1[new], return_index=True, return_inverse=True)
             pick = new[where]
-            if self.n + len(pick) > len(self.at) - 2:
-                raise ValueError("more distinct pieces in one batch than the table holds")
-            raw = data.tobytes()
-            pieces = [raw[a:b].decode() for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
-            got = self._learn(pieces, first[pick])
-            self._add(h1[pick], h2[pick], got)
-            number[new] = got[back]
+            if self.n + len(pick) > len(self.at) - 2:  # more than the table holds: their texts are encoded whole
+                number[new] = 0
+            else:
+                raw = data.tobytes()
+                pieces = [raw[a:b].decode() for a, b in zip(starts[pick].tolist(), ends[pick].tolist(), strict=True)]
+                got = self._learn(pieces, first[pick])
+                self._add(h1[pick], h2[pick], got)
+                number[new] = got[back]
         doc = np.repeat(np.arange(n_docs), np.diff(np.r_[first_of, len(starts)]))
         at = self.at[number].astype(np.int64)
         length = self.at[number + 1] - at

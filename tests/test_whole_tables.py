@@ -10,6 +10,7 @@ import public_tokenizers as P
 from reasonflow import derived
 from reasonflow.catalogue import QUERIES
 from reasonflow.llm import tokenbin
+from reasonflow.llm.tokens import PieceEncoder
 from reasonflow.operators import dags
 
 
@@ -83,3 +84,10 @@ def test_dictionary_sample_is_bounded_and_has_long_texts(spark):
     texts = spark.range(80).select(F.col("id").alias("doc_id"), words.alias("text"))
     assert texts.where("length(text) <= 8192").where("doc_id > 0").isEmpty()
     assert tokenbin.train_dictionary(texts, P.path("byte_bpe_50k.json"), 2, longest=8192)
+
+
+def test_more_pieces_than_the_table_holds():
+    own, texts = PieceEncoder(P.path("byte_bpe_50k.json"), bits=8), [" ".join(f"w{i}x{i}" for i in range(300)), "w1x1 w2 end", ""]
+    for some in (texts, texts[::-1], texts[1:]):
+        ids, at = own.encode(some, 2)
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*own.tokenizer.encode(x, add_special_tokens=False).ids, 2] for x in some]
