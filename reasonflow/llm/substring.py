@@ -2,14 +2,19 @@
 
 Seeds: every window of ``min_words`` words picks the least of its ``SEED``-word hashes
 (the last among equals) as its anchor, so equal windows pick equal anchors at equal
-offsets, and a run of neighbouring windows shares one anchor.  Documents are joined on
-anchors; only anchors of two or more documents go on.
+offsets, and a run of neighbouring windows shares one anchor.
 
 Extension: an anchor is extended both ways over its run of windows, up to
-``2 * min_words`` words or so.  Occurrences with one extended content form a class, of which
-only the earliest document goes on where an anchor has several classes; its single windows
-are compared there.  So a passage of thousands of documents makes one row per occurrence
-and never a row per pair.  Overlapping and touching windows merge to maximal repeats.
+``2 * min_words`` words or so.  Occurrences with one extended content form a class.  An anchor
+of one class is decided there: all but the earliest document repeat it.  Where an anchor
+has several classes, what later documents of a class hold is repeated too, and the earliest
+document of each has its windows compared one by one.  Overlapping and touching windows merge
+to maximal repeats.
+
+Classes are found by aggregation, which is summed before it is dealt, and only the earliest
+document of a class is told of it: what a document isn't told of, an earlier one has.  So a passage
+common to any number of documents makes one row that travels, not one a document, and all that
+documents are joined with is a list each, by their own id, no longer than their own text.
 
 Hash values of 64 bits pair up to 128 bits wherever a match is decided.
 """
@@ -21,153 +26,141 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U64, grams, hash_words, mix, signed, sliding_argmin, spread, steps, utf8, words
 from .workspace import materialise
 
 SEED = 20
-TAG_BITS = 26  # tells apart rows that share a doc_id
 BASES = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)
-RANGES, TAG = "__rf_ranges", "__rf_tag"
+OWN, OPEN, WINDOWS = "__rf_own", "__rf_open", "__rf_windows"
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One label of two hashes, to be compared within a document only."""
+    with np.errstate(over="ignore"):
+        return mix(mix(a.view(U64)) + b.view(U64) * U64(3))
+
+
+class _Runs:
+    """The runs of windows of a batch of texts: document, first word, number of windows, anchor and content of each."""
+
+    def __init__(self, batch: pa.RecordBatch, min_words: int):
+        self.data, self.offsets = utf8(batch.column("text"))
+        self.starts, self.ends, self.before = words(self.data, self.offsets)
+        h = hash_words(self.data, self.starts, self.ends)
+        doc, rank = spread(np.maximum(np.diff(self.before) - min_words + 1, 0))
+        at = self.before[doc] + rank
+        none = np.zeros(0, np.int64)
+        self.doc, self.first, self.size, self.anchor, self.content = (none,) * 5
+        if len(at):
+            seed = grams(h, SEED)
+            pick = sliding_argmin(seed, min_words - SEED + 1)[at]
+            window = grams(h, min_words, BASES[0])
+            head = np.flatnonzero(np.r_[True, (pick[1:] != pick[:-1]) | (doc[1:] != doc[:-1])])
+            self.size = np.diff(np.r_[head, len(at)])
+            self.first, last = at[head], at[head + self.size - 1]
+            with np.errstate(over="ignore"):
+                content = mix(window[self.first] + mix(window[last]) * U64(3) + mix((self.size * 4096 + pick[head] - self.first).astype(U64)))
+            self.doc, self.anchor, self.content = doc[head], signed(seed[pick[head]]), signed(content)
+
+    def windows(self, some: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
+        """Document, first word and both hashes of each window of ``some`` runs."""
+        run, k = spread(self.size[some])
+        at = self.first[some][run] + k
+        a, b = (signed(grams(hash_words(self.data, self.starts, self.ends, s), min_words, BASES[s - 1])) for s in (1, 2))
+        return self.doc[some][run], at, a[at], b[at]
 
 
-def tag(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit((1 << TAG_BITS) - 1))
+def _anchors(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in steps(whole, "text"):
+                r = _Runs(batch, min_words)
+                if len(r.doc):
+                    yield pa.RecordBatch.from_arrays([pa.array(r.anchor), pa.array(r.content), batch.column("doc_id").take(pa.array(r.doc))], names=["anchor", "content", "doc_id"])
 
+    return run
 
-def _windows(data: np.ndarray, offsets: np.ndarray, min_words: int) -> tuple[np.ndarray, ...]:
-    """Word hashes, words before each document, the first windows and the document of each."""
-    starts, ends, before = words(data, offsets)
-    h = hash_words(data, starts, ends)
-    n = np.maximum(np.diff(before) - min_words + 1, 0)
-    doc, rank = spread(n)
-    return h, before, before[doc] + rank, doc
 
+def _told(batch: pa.RecordBatch, column: str, doc: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Which of the labels are in the list of their document."""
+    lists = batch.column(column)
+    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    with np.errstate(over="ignore"):
+        key = lambda d, x: mix(x.view(U64) + mix(d.astype(U64)))
+        return np.isin(key(doc, label), key(np.repeat(np.arange(len(n)), n), flat))
 
-def _anchors(min_words: int):
-    w = min_words - SEED + 1
 
+def _single_windows(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, "text"):
-                h, before, at, doc = _windows(*utf8(batch.column("text")), min_words)
-                if not len(at):
-                    continue
-                seed = grams(h, SEED)
-                pick = sliding_argmin(seed, w)[at]
-                window = grams(h, min_words, BASES[0])
-                head = np.flatnonzero(np.r_[True, (pick[1:] != pick[:-1]) | (doc[1:] != doc[:-1])])
-                size = np.diff(np.r_[head, len(at)])
-                first, last = at[head], at[head + size - 1]
-                with np.errstate(over="ignore"):
-                    content = mix(window[first] + mix(window[last]) * U64(3) + mix((size * 4096 + pick[head] - first).astype(U64)))
-                d = doc[head]
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[d]
-                tags = batch.column("tag").to_numpy(zero_copy_only=False)[d]
-                place = ((first - before[d]) << 32) | (size << TAG_BITS) | tags
-                yield pa.RecordBatch.from_arrays([pa.array(signed(seed[pick[head]])), pa.array(signed(content)), pa.array(ids), pa.array(place)], names=["anchor", "content", "doc_id", "place"])
+                r = _Runs(batch, min_words)
+                doc, _, a, b = r.windows(_told(batch, OPEN, r.doc, _pair(r.anchor, r.content)), min_words)
+                if len(doc):
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), batch.column("doc_id").take(pa.array(doc))], names=["w1", "w2", "doc_id"])
 
     return run
 
 
-def _single_windows(min_words: int):
+def _label(out: str, *keys: str):
+    """``_pair`` of two columns, and the id of the document that is told."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in steps(whole, "text"):
-                data, offsets = utf8(batch.column("text"))
-                starts, ends, before = words(data, offsets)
-                a, b = (grams(hash_words(data, starts, ends, s), min_words, BASES[s - 1]) for s in (1, 2))
-                lists = batch.column("runs")
-                n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                flat = lists.flatten().to_numpy(zero_copy_only=False)
-                row = np.repeat(np.arange(len(n)), n)
-                tags = batch.column("tag").to_numpy(zero_copy_only=False)
-                own = (flat & ((1 << TAG_BITS) - 1)) == tags[row]  # not of another text with this id
-                flat, row = flat[own], row[own]
-                run_, k = spread((flat >> TAG_BITS) & 63)
-                row, pos = row[run_], (flat >> 32)[run_] + k
-                if len(pos):
-                    at = before[row] + pos
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(a[at])), pa.array(signed(b[at])), batch.column("doc_id").take(pa.array(row)), pa.array((pos << 32) | (1 << TAG_BITS) | batch.column("tag").to_numpy(zero_copy_only=False)[row])], names=["w1", "w2", "doc_id", "place"])
+        for batch in batches:
+            a, b = (batch.column(k).to_numpy(zero_copy_only=False) for k in keys)
+            rest = [c for c in batch.schema.names if c not in keys]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, rest), pa.array(signed(_pair(a, b)))], names=[*rest, out])
 
     return run
 
 
-def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Parts each document's runs into those of classes that an earlier document has, and the others.
+def with_first_sights(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """``docs`` (doc_id, text and others) with what each row is told of its runs of windows.
 
-    An entry without a place says that the document is the first one of the class.
-    """
-    for batch in batches:
-        lists = batch.column("runs")
-        n = lists.value_lengths().to_numpy(zero_copy_only=False)
-        doc = np.repeat(np.arange(len(n)), n)
-        flat = lists.flatten()
-        place, label = flat.field("place"), flat.field("label").to_numpy(zero_copy_only=False)
-        told = place.is_null().to_numpy(zero_copy_only=False)
-        place = place.fill_null(0).to_numpy(zero_copy_only=False)
-        with np.errstate(over="ignore"):
-            key = mix(label.view(U64) + mix(doc.astype(U64)))
-        first = np.isin(key, key[told])
-        cols = []
-        for keep in (~first & ~told, first & ~told):
-            size = np.bincount(doc[keep], minlength=len(n))
-            cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)], pa.int32()), pa.array(place[keep], pa.int64())))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *cols], names=["doc_id", "later", "first"])
-
-
-def repeated_runs(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(doc_id, places): runs of windows that also start in a document with a smaller id, in any number of lists a document.
-
-    ``docs`` has doc_id and text.  A null id has no order: such rows neither repeat
-    others nor are repeated.  Rows that share an id don't repeat each other.
-    A place packs the first word (32 bits), the number of windows and a tag of the text.
+    Three lists of labels: runs that no earlier document has and that have no variant elsewhere, runs
+    that no earlier document has whole, and windows of these that no earlier document has.  A
+    null id has no order: such rows neither repeat others nor are repeated.  Rows that share
+    an id don't repeat each other.
     """
     if not SEED < min_words < SEED + 62:
         raise ValueError(f"min_words must be over {SEED} and under {SEED + 62}")
-    docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text", tag(F.col("text")).alias("tag"))
-    anchors = docs.mapInArrow(_anchors(min_words), "anchor long, content long, doc_id long, place long")
-    many = anchors.groupBy("anchor").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.min("content").alias("c0"), F.max("content").alias("c1"))
-    # written first, so that both sides of the join are dealt for it alone and Spark can split a hot anchor
-    many = materialise(many.where("first_doc < last_doc").select("anchor", "first_doc", (F.col("c0") != F.col("c1")).alias("varied")), "anchors")
-    shared = materialise(anchors.join(many, "anchor"), "shared-anchors")
-    alike = shared.where("not varied and doc_id > first_doc").select("doc_id", "place")
-    varied = shared.where("varied")
-    # each document settles which of its runs stand for their class, so no run is joined again
-    label = F.xxhash64("anchor", "content").alias("label")
-    firsts = varied.groupBy("anchor", "content").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(None).cast("bigint").alias("place"), label)
-    by_doc = varied.select("doc_id", "place", label).unionByName(firsts).groupBy("doc_id").agg(F.collect_list(F.struct("place", "label")).alias("runs"))
-    settled = materialise(by_doc.mapInArrow(_settle, "doc_id long, later array<long>, first array<long>"), "settled")
-    later = settled.where("size(later) > 0").select("doc_id", F.col("later").alias("places"))
-    kept = settled.where("size(first) > 0").select("doc_id", F.col("first").alias("runs"))
-    single = materialise(docs.join(kept, "doc_id").select("doc_id", "tag", "text", "runs").mapInArrow(_single_windows(min_words), "w1 long, w2 long, doc_id long, place long"), "windows")
-    least = single.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most")
-    least = materialise(least, "repeated-windows")
-    exact = single.join(least, ["w1", "w2"]).where("doc_id > least").select("doc_id", "place")
-    return alike.unionByName(exact).select("doc_id", F.array("place").alias("places")).unionByName(later)
-
-
-def _with_ranges(docs: DataFrame, min_words: int) -> DataFrame:
-    """``docs`` (doc_id, text and others) with the runs of each row."""
-    runs = repeated_runs(docs.select("doc_id", "text"), min_words)
-    by_doc = runs.groupBy("doc_id").agg(F.flatten(F.collect_list("places")).alias(RANGES)).withColumnRenamed("doc_id", "__rf_id")
-    return docs.withColumn(TAG, tag(F.col("text"))).join(by_doc, F.col("doc_id") == F.col("__rf_id"), "left").drop("__rf_id")
-
-
-def _covered(batch: pa.RecordBatch, before: np.ndarray, min_words: int) -> np.ndarray:
-    """Which words of the batch are in a repeated window."""
-    lists = batch.column(RANGES)
-    n = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    row, flat = np.repeat(np.arange(len(n)), n), lists.flatten().to_numpy(zero_copy_only=False)
-    own = (flat & ((1 << TAG_BITS) - 1)) == batch.column(TAG).to_numpy(zero_copy_only=False)[row]  # not of another text with this id
-    row, flat = row[own], flat[own]
-    first = before[row] + (flat >> 32)
-    edge = np.zeros(int(before[-1]) + 1, np.int32)
-    np.add.at(edge, first, 1)
-    np.add.at(edge, first + ((flat >> TAG_BITS) & 63) + min_words - 1, -1)
-    return np.cumsum(edge[:-1]) > 0
+    known = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    occurrences = known.mapInArrow(_anchors(min_words), "anchor long, content long, doc_id long")
+    classes = materialise(occurrences.groupBy("anchor", "content").agg(F.min("doc_id").alias("doc_id")), "classes")
+    anchors = materialise(classes.groupBy("anchor").agg(F.min("doc_id").alias("doc_id"), F.min("content").alias("content"), (F.min("content") != F.max("content")).alias("varied")), "anchors")
+    plain = anchors.where("not varied").select("doc_id", "anchor", "content", "varied")
+    # the small side is written: both sides of the join are dealt for it alone, and Spark can split a hot anchor
+    varied = classes.join(anchors.where("varied").select("anchor", "varied"), "anchor").select("doc_id", "anchor", "content", "varied")
+    told = plain.unionByName(varied).mapInArrow(_label("label", "anchor", "content"), "doc_id long, varied boolean, label long")
+    by_doc = told.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("varied"), F.col("label"))).alias(OWN), F.collect_list(F.when(F.col("varied"), F.col("label"))).alias(OPEN))
+    by_doc = materialise(by_doc, "first-sights")
+    windows = known.join(by_doc.where(f"size({OPEN}) > 0").select("doc_id", OPEN), "doc_id").select("doc_id", "text", OPEN).mapInArrow(_single_windows(min_words), "w1 long, w2 long, doc_id long")
+    firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("doc_id")).mapInArrow(_label("label", "w1", "w2"), "doc_id long, label long")
+    firsts = firsts.groupBy("doc_id").agg(F.collect_list("label").alias(WINDOWS))
+    lists = materialise(by_doc.join(firsts, "doc_id", "left").withColumnRenamed("doc_id", "__rf_id"), "told")
+    return docs.join(lists, F.col("doc_id").cast("long") == F.col("__rf_id"), "left").drop("__rf_id")
+
+
+def _repeated(batch: pa.RecordBatch, min_words: int) -> tuple[_Runs, np.ndarray]:
+    """The runs of a batch, and which of its words are in a repeated window."""
+    r = _Runs(batch, min_words)
+    label = _pair(r.anchor, r.content)
+    ordered = batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)[r.doc]
+    open_ = _told(batch, OPEN, r.doc, label)
+    later = ordered & ~open_ & ~_told(batch, OWN, r.doc, label)
+    edge = np.zeros(int(r.before[-1]) + 1, np.int64)
+    np.add.at(edge, r.first[later], 1)
+    np.add.at(edge, r.first[later] + r.size[later] + min_words - 1, -1)
+    if open_.any():
+        doc, at, a, b = r.windows(open_, min_words)
+        at = at[~_told(batch, WINDOWS, doc, _pair(a, b))]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + min_words, -1)
+    return r, np.cumsum(edge[:-1]) > 0
 
 
 def _kept_texts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, before: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -184,35 +177,39 @@ def _kept_texts(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends:
 def substring_digests(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_words, n_removed, kept_sha256.
 
-    A null or empty text has no words; a null id is never removed from.
+    A null or empty text has no words; a null id is never removed from; repeated rows keep
+    one another's words, as they share an id.  Empty table: empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, "text"):
-                data, offsets = utf8(batch.column("text"))
-                starts, ends, before = words(data, offsets)
-                gone = _covered(batch, before, min_words)
-                kept, at = _kept_texts(data, offsets, starts, ends, before, gone)
-                lost = np.diff(np.r_[0, np.cumsum(gone)][before])
+                r, gone = _repeated(batch, min_words)
+                kept, at = _kept_texts(r.data, r.offsets, r.starts, r.ends, r.before, gone)
+                lost = np.diff(np.r_[0, np.cumsum(gone)][r.before])
                 sha = [hashlib.sha256(kept[a : max(a, b - 1)]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(before)), pa.array(lost), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(r.before)), pa.array(lost), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = _with_ranges(docs.select(F.col("doc_id").cast("long"), "text"), min_words).select("doc_id", "text", TAG, RANGES)
+    rows = with_first_sights(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words)
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """Maximal repeats: doc_id, first word, end word (exclusive); at least ``min_words`` long."""
-    mask = F.lit((1 << TAG_BITS) - 1)
-    runs = repeated_runs(docs.select(F.col("doc_id").cast("long"), "text"), min_words).select("doc_id", F.explode("places").alias("place"))
-    spans = F.array_sort(F.collect_list(F.struct(F.shiftright("place", 32).alias("first_word"), (F.shiftright("place", 32) + F.shiftright("place", TAG_BITS).bitwiseAND(F.lit(63)) + min_words - 1).alias("end_word"))))
-    per = runs.groupBy("doc_id", F.col("place").bitwiseAND(mask).alias("tag")).agg(spans.alias("s"))
-    merged = F.expr("""aggregate(slice(s, 2, size(s)), slice(s, 1, 1), (acc, x) ->
-        if(x.first_word <= element_at(acc, -1).end_word,
-           concat(slice(acc, 1, size(acc) - 1), array(named_struct('first_word', element_at(acc, -1).first_word, 'end_word', greatest(element_at(acc, -1).end_word, x.end_word)))),
-           concat(acc, array(x))))""")
-    return per.select("doc_id", F.inline(merged))
+    """Maximal repeats: doc_id, first word, end word (exclusive); at least ``min_words`` long.  A row a repeat of each row of ``docs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in steps(whole, "text"):
+                r, gone = _repeated(batch, min_words)
+                doc = np.repeat(np.arange(batch.num_rows), np.diff(r.before))
+                turn = np.flatnonzero(np.r_[True, (gone[1:] != gone[:-1]) | (doc[1:] != doc[:-1])]) if len(gone) else np.zeros(0, np.int64)
+                end = np.r_[turn[1:], len(gone)][: len(turn)]
+                turn, end = turn[gone[turn]], end[gone[turn]]
+                own = r.before[doc[turn]]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(doc[turn])), pa.array(turn - own), pa.array(end - own)], names=["doc_id", "first_word", "end_word"])
+
+    rows = with_first_sights(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), min_words)
+    return rows.mapInArrow(run, "doc_id long, first_word long, end_word long")
 
 
 def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -227,13 +224,11 @@ def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole, "text"):
-                data, offsets = utf8(batch.column("text"))
-                starts, ends, before = words(data, offsets)
-                gone = _covered(batch, before, min_words)
-                lost = np.diff(np.r_[0, np.cumsum(gone)][before])
+                r, gone = _repeated(batch, min_words)
+                lost = np.diff(np.r_[0, np.cumsum(gone)][r.before])
                 old = batch.column("text").to_pylist()
                 if lost.any():
-                    kept, at = _kept_texts(data, offsets, starts, ends, before, gone)
+                    kept, at = _kept_texts(r.data, r.offsets, r.starts, r.ends, r.before, gone)
                     for i in np.flatnonzero(lost).tolist():
                         old[i] = kept[at[i] : max(at[i], at[i + 1] - 1)].tobytes().decode("utf-8", "replace")
                 cols = {f.name: batch.column(f.name) for f in fields} | {"text": pa.array(old, pa.string())}
@@ -241,4 +236,4 @@ def remove_repeats(docs: DataFrame, min_words: int = 50) -> DataFrame:
                     cols["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(old, batch.column("n_chars").to_pylist(), strict=True)], batch.schema.field("n_chars").type)
                 yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
-    return _with_ranges(docs, min_words).mapInArrow(run, fields)
+    return with_first_sights(docs, min_words).mapInArrow(run, fields)
