@@ -158,6 +158,17 @@ class TokenFile:
         frame = self.file.read_at(int(self.ends[i]) - at, at)
         return np.frombuffer(self.unpacker.decompress(frame), self.dtype).astype(np.uint32)
 
+    def ranges(self, most: int = 4_000_000, rows: int = 1000) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """All documents in order, the number of the first and the ids of some: one read for frames of ``most`` bytes or one document."""
+        lo = 0
+        while lo < len(self):
+            at = int(self.index[lo, 2])
+            hi = min(lo + rows, max(lo + 1, int(np.searchsorted(self.ends, at + most, side="right"))))
+            data = memoryview(self.file.read_at(int(self.ends[hi - 1]) - at, at))
+            frames = [data[int(a) - at : int(b) - at] for a, b in zip(self.index[lo:hi, 2], self.ends[lo:hi], strict=True)]
+            yield lo, [np.frombuffer(self.unpacker.decompress(x), self.dtype).astype(np.uint32) for x in frames]
+            lo = hi
+
     def close(self) -> None:
         self.file.close()
 
@@ -171,9 +182,8 @@ def read_token_files(manifest: DataFrame, path: str, dictionary: bytes, dtype: s
         for batch in batches:
             for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
                 f = TokenFile(fs, f"{folder}/{name}", dictionary, dtype)
-                for lo in range(0, len(f), 1000):
-                    hi = min(lo + 1000, len(f))
-                    ids = [f.ids(i) for i in range(lo, hi)]
+                for lo, ids in f.ranges():
+                    hi = lo + len(ids)
                     n = np.array([len(x) for x in ids], np.int64)
                     begin = start + np.cumsum(n) - n
                     start += int(n.sum())

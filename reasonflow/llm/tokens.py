@@ -3,8 +3,9 @@
 A single space with non-space characters on both sides always begins a new
 pre-token in the tokenizers used here, so a text is encoded as the concatenation of its
 pieces between such spaces; equal pieces are encoded once per worker.  Texts with any
-other kind of spacing around a space are encoded whole.  Results equal the
-tokenizers library's on the whole text.
+other kind of spacing around a space, or with the string of an added token (which the
+library takes for that token), are encoded whole.  Results equal the tokenizers library's
+on the whole text.
 
 Pieces are looked up by a 96-bit hash of their bytes in an open-addressing table of
 numpy arrays: no Python object is made for a piece already known.
@@ -30,10 +31,12 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         if hasattr(self.tokenizer.model, "_resize_cache"):
             self.tokenizer.model._resize_cache(100_000)  # words that come with and without a comma
         self.bits = bits
+        if any(" " in t for t in self.added):
+            raise ValueError("added tokens with a space are not supported")
         vocabulary = self.tokenizer.get_vocab()
         self.size = max(vocabulary.values()) + 1
         self.opens = np.zeros(self.size, bool)  # ids whose bytes begin with the space
@@ -87,12 +90,15 @@ class PieceEncoder:
         self.used += len(ids)
         return number
 
+    def _holds_added(self, piece: str) -> bool:
+        return any(t in piece or t in piece.lower() for t in self.added)
+
     def _learn(self, pieces: list[str], first: np.ndarray) -> np.ndarray:
         """Numbers of new pieces; 0 for those that aren't safe to encode alone."""
         out = np.zeros(len(pieces), np.int64)
         alone, joined = [], []
         for i, (p, f) in enumerate(zip(pieces, first.tolist(), strict=True)):
-            if p and not p[-1].isspace() and MARK not in p and (f or not p[0].isspace()):
+            if p and not p[-1].isspace() and MARK not in p and (f or not p[0].isspace()) and not self._holds_added(p):
                 (alone if f else joined).append(i)
         if alone:
             ids = self._encode([pieces[i] for i in alone])
