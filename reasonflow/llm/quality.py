@@ -56,9 +56,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def dot_products(weights: np.ndarray, bias: float, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The score of each text before the logistic function; each text is summed by itself, so equal texts get equal bits."""
     f, before, n = features(data, offsets)
-    total = np.r_[0.0, np.cumsum(weights[f].sum(axis=1))]
-    return bias + (total[before[1:]] - total[before[:-1]]) / np.maximum(n, 1)
+    out, some = np.full(len(n), float(bias)), np.flatnonzero(n)
+    if len(some):
+        out[some] += np.add.reduceat(weights[f].sum(axis=1), before[some]) / n[some]
+    return out
 
 
 class Ftrl:
@@ -103,16 +106,17 @@ def _train(epochs: int):
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 10_000, epochs: int = 3) -> np.ndarray:
     """Weights (the last is the bias) from about ``most`` labelled documents outside fold 1.
 
-    ``labels`` has doc_id and label (0 or 1; other rows are passed over).  The documents whose id has a
-    hash that is low enough are taken, whole.  No labels: all weights are zero, so
-    every score is 0.5.
+    ``labels`` has doc_id and label (0 or 1; other rows and null ids are passed over).  The documents
+    whose id has a hash that is low enough are taken, whole; where ids repeat, twice ``most``
+    rows in the order of the hash at the most.  No labels: all weights are zero, so every score is 0.5.
     """
     chosen = labels.where("label in (0, 1) and doc_id is not null").where(fold(F.col("doc_id")) != 1).select(F.col("doc_id").cast("long").alias("label_id"), F.col("label").cast("int").alias("label"))
     order = F.xxhash64("label_id")
     share = min(1.0, most / max(chosen.count(), 1))
-    chosen = chosen.where(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < share)  # about ``most`` small rows are broadcast
+    chosen = chosen.where(F.pmod(order, F.lit(1 << 30)) / float(1 << 30) < share)
+    chosen = chosen.orderBy(order, "label").limit(2 * most)  # small rows, which are broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("text", "label", order.alias("o"))
-    found = rows.repartition(1).sortWithinPartitions("o", "label", "text").mapInArrow(_train(epochs), "w binary").collect()
+    found = rows.orderBy("o", "label", "text").limit(2 * most).repartition(1).sortWithinPartitions("o", "label", "text").mapInArrow(_train(epochs), "w binary").collect()
     return np.frombuffer(found[0][0], "<f4") if found else np.zeros(DIM + 1, np.float32)
 
 
