@@ -63,7 +63,7 @@ def _none() -> Column:
 
 
 def _matches(text: Column, pattern: str, rank: int, guard: Column, group: int = 0, least: int = 0) -> Column:
-    """Leftmost non-overlapping matches whose ``group`` has ``least`` characters or more."""
+    """Spans of the leftmost non-overlapping matches whose ``group`` has ``least`` characters or more."""
     r = F.lit(pattern)
     every = F.regexp_extract_all(text, r, F.lit(0))
     keep = F.transform(F.regexp_extract_all(text, r, F.lit(group)), lambda g: F.length(g) >= least) if least else F.transform(every, lambda m: F.lit(True))
@@ -79,7 +79,32 @@ def base_spans(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    return _matches(text, CANDIDATE, 3, text.rlike(CANDIDATE))
+    """struct(s, kind, e, t) of each candidate: its span and its characters, which are not cut out of the text again."""
+
+    def told(every: Column) -> Column:
+        spans = _places(F.split(text, CANDIDATE, -1), every, F.transform(every, lambda m: F.lit(True)), 3)
+        return F.zip_with(spans, every, lambda x, t: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e"), t.alias("t")))
+
+    none = F.array().cast("array<struct<s:int,kind:int,e:int,t:string>>")
+    return F.when(text.rlike(CANDIDATE), let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), told)).otherwise(none)
+
+
+def apart(items: Column, base: Column) -> Column:
+    """Those of ``items`` (in order, none over another) that no span of ``base`` overlaps.
+
+    Starts and ends are sorted together: at a start with as many ends as starts before it
+    nothing is open, and nothing else begins in an item if the next start isn't before its end.
+    """
+    event = lambda p, o, e, i: F.struct(p.alias("p"), F.lit(o).alias("o"), e.alias("e"), i.alias("i"))
+    ends = [F.transform(x, lambda b: event(b["e"], 0, b["e"], F.lit(-1))) for x in (base, items)]
+    both = [*ends, F.transform(base, lambda b: event(b["s"], 1, b["e"], F.lit(-1))), F.transform(items, lambda b, i: event(b["s"], 1, b["e"], i))]
+    starts = F.filter(F.transform(F.sort_array(F.concat(*both)), lambda x, t: F.struct(x["p"].alias("p"), x["o"].alias("o"), x["e"].alias("e"), x["i"].alias("i"), t.alias("t"))), lambda x: x["o"] == 1)
+
+    def free(all_: Column) -> Column:
+        return F.filter(all_, lambda x, r: (x["i"] >= 0) & (2 * r == x["t"]) & F.coalesce(F.get(all_, r + 1)["p"] >= x["e"], F.lit(True)))
+
+    some = let(items, lambda own: F.transform(let(starts, free), lambda x: F.get(own, x["i"])))
+    return F.when(F.size(items) == 0, items).otherwise(some)
 
 
 def _upper_tail(z: Column) -> Column:
@@ -199,12 +224,11 @@ class SecretScan:
         """Spans of candidates that pass and touch no base span."""
 
         def passes(c: Column) -> Column:
-            token = F.substring(text, c["s"] + 1, c["e"] - c["s"])
             limit = F.array(*[F.lit(b) for b in self.passed])
-            return let(tests(token, self.model), lambda x: (x["p_random"] > ALPHA) & (p_class(x["p_text"]) >= F.get(limit, length_class(x["n"]))) & (p_class(x["p_text"]) > 0))
+            return let(tests(c["t"], self.model), lambda x: (x["p_random"] > ALPHA) & (p_class(x["p_text"]) >= F.get(limit, length_class(x["n"]))) & (p_class(x["p_text"]) > 0))
 
-        apart = F.filter(candidates(text), lambda c: ~F.exists(base, lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-        return F.filter(apart, passes)
+        own = let(F.struct(candidates(text).alias("c"), base.alias("b")), lambda x: F.filter(apart(x["c"], x["b"]), passes))
+        return F.transform(own, lambda x: F.struct(x["s"].alias("s"), x["kind"].alias("kind"), x["e"].alias("e")))
 
     def spans(self, docs: DataFrame, text_col: str = "text") -> DataFrame:
         """Adds base_spans and secret_spans, arrays of (s, kind, e): code points, end exclusive.  A null text has none."""
@@ -220,7 +244,11 @@ def described(spans: Column) -> Column:
 
 
 def secret_report(docs: DataFrame) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text): counts by base kind, the digest of the base spans, and all spans."""
+    """Per row of ``docs`` (doc_id, text): counts by base kind, the digest of the base spans, and all spans.
+
+    A null or empty text has none; a null id stays null; repeated rows get equal results, and a
+    string that many rows hold counts once in what is learnt.  Empty table: empty result.
+    """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = SecretScan.fit(docs).spans(docs)
 
@@ -230,24 +258,42 @@ def secret_report(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *map(count, range(3)), F.sha2(described(F.col("base_spans")), 256).alias("base_sha256"), described(F.col("secret_spans")).alias("spans"))
 
 
+def _joined(text: Column, begin: Column, gaps: Column, mark: str, sizes: tuple[int, ...]) -> Column:
+    """The stretches (a, b) of ``text``, whose first character is number ``begin``, joined by ``mark``.
+
+    A character is found by counting from the start of its text, so stretches are taken from the text of their block.
+    """
+    if not sizes:
+        return F.array_join(F.transform(gaps, lambda g: F.substring(text, g["a"] - begin + 1, g["b"] - g["a"])), mark)
+
+    def block(h: Column) -> Column:
+        part = F.slice(gaps, h, F.lit(sizes[0]))
+        first, last = F.get(part, F.lit(0))["a"], F.element_at(part, -1)["b"]
+        held = F.struct(part.alias("g"), first.alias("a"), F.substring(text, first - begin + 1, last - first).alias("t"))
+        return let(held, lambda x: _joined(x["t"], x["a"], x["g"], mark, sizes[1:]))
+
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.size(gaps), F.lit(sizes[0])), block), mark)
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with each stretch of secret spans in ``text`` replaced by ``mark``; ``n_chars`` follows, if there.
 
-    Other columns, texts without secrets and null texts stay as they are.
+    Spans that overlap make one stretch.  Other columns, texts without secrets, null texts and the
+    number of rows stay as they are.
     """
     columns = docs.columns
     rows = docs.select(F.struct(*columns).alias("__rf_row"), "text")  # so that no column's name matters
     found = SecretScan.fit(rows).spans(rows)
 
     def cut(spans: Column) -> Column:
-        # what stands before each span, counted from the end of all spans before it
-        def piece(x: Column, i: Column) -> Column:
-            ends = F.array_max(F.transform(F.slice(spans, F.lit(1), i), lambda y: y["e"]))
-            begin = F.when(i == 0, F.lit(0)).otherwise(ends)
-            return F.when((i > 0) & (x["s"] < begin), F.lit("")).otherwise(F.concat(F.substring(F.col("text"), begin + 1, x["s"] - begin), F.lit(mark)))
-
-        end = F.array_max(F.transform(spans, lambda y: y["e"]))
-        return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(F.col("text"), end + 1, F.length("text") - end))
+        """Between spans sorted by start there is a gap where the next start isn't before as many ends, sorted too."""
+        bounds = F.struct(F.sort_array(F.transform(spans, lambda x: x["s"])).alias("s"), F.sort_array(F.transform(spans, lambda x: x["e"])).alias("e"))
+
+        def gaps(x: Column) -> Column:
+            each = F.transform(x["s"], lambda s, i: F.struct(F.when(i == 0, 0).otherwise(F.get(x["e"], i - 1)).alias("a"), s.alias("b")))
+            return F.concat(F.filter(each, lambda g, i: (i == 0) | (g["b"] >= g["a"])), F.array(F.struct(F.element_at(x["e"], -1).alias("a"), F.length("text").alias("b"))))
+
+        return let(let(bounds, gaps), lambda g: _joined(F.col("text"), F.lit(0), g, mark, (4096, 64)))
 
     some = F.size("secret_spans") > 0
     found = found.withColumn("__rf_clean", F.when(some, let(F.col("secret_spans"), cut)).otherwise(F.col("text")))
