@@ -2,11 +2,12 @@
 
 Words (a run of the space sign and what follows it) of equal length advance together.  The
 hashes of all their substrings, up to the longest piece, probe the sorted hashes of the pieces.
-A unigram model then runs Viterbi: position by position, vectorised maxima over piece
-lengths store scores and backpointers.  A BPE model's segmentation is defined by the order of
-merges, which no path of greatest score gives; its words, also of equal length, make in each
-step the merge of greatest score (the first among equals), found by the same probes and a
-vectorised maximum.  Characters without a piece fall back to byte pieces, or else to the unknown id.
+Viterbi then runs position by position: vectorised maxima over piece lengths store scores
+and backpointers.  In a unigram model a piece gains its score.  In a BPE model the encoding of a
+prefix ends in just one piece: the one that stays as it is after the last piece of the prefix
+before it, when pieces are merged in order of score.  Such a piece gains nothing and all
+others are excluded, so the path is the model's own encoding.  Characters without a
+piece fall back to byte pieces, or else to the unknown id.
 """
 
 from __future__ import annotations
@@ -93,6 +94,8 @@ class SentencePieceModel:
             raise ValueError("two pieces have one hash")
         self.maybe = np.zeros(1 << FILTER_BITS, bool)  # spares most substrings the search
         self.maybe[(self.keys >> U64(64 - FILTER_BITS)).astype(np.int64)] = True
+        if self.kind == BPE:
+            self._build(points, np.array(normal, np.int32))
         # bytes that each id stands for
         surface = [bytes([int(p[3:5], 16)]) if b else b"" if s and i != self.unknown else " ⁇ ".encode() if s else p.replace(SIGN, " ").encode() for i, (p, b, s) in enumerate(zip(self.pieces, byte, special, strict=True))]
         self.surface = np.frombuffer(b"".join(surface), np.uint8)
@@ -138,6 +141,74 @@ class SentencePieceModel:
             pick = total.argmax(axis=1)
             best[:, end] = total[np.arange(n), pick]
             back[:, end] = sizes[pick]
+        return self._path(back)
+
+    def _build(self, points: list[np.ndarray], ids: np.ndarray) -> None:
+        """How a BPE model makes each piece: its rank in the order of merges and the length of its left part.
+
+        Single characters come before all merges (rank -1).  Pieces that merging does not give are never on a path.
+        """
+        sizes = np.array([len(p) for p in points])
+        order = np.lexsort((ids, -self.score[ids]))
+        self.rank, self.left = np.full(len(self.pieces) + 1, -1, np.int64), np.zeros(len(self.pieces) + 1, np.int64)  # id -1: a character without a piece
+        self.rank[ids[order]] = np.arange(len(ids))
+        self.rank[ids[sizes == 1]] = -1
+        self.made = np.zeros(len(self.pieces) + 1, bool)
+        self.made[ids[sizes == 1]] = self.made[-1] = True
+        for length in np.unique(sizes[sizes > 1]).tolist():  # shorter pieces are known by then
+            some = np.flatnonzero(sizes == length)
+            found = self.substrings(np.stack([points[i] for i in some]))
+            # the last merge is the one of two pieces that stay side by side until then: of all pairs the one without the piece itself
+            found[:, 0, length - 1] = -1
+            word, start, size = self.best_pieces(found)
+            two = np.flatnonzero(np.bincount(word, minlength=len(some)) == 2)
+            first = size[start == 0]
+            self.left[ids[some[two]]] = first[two]
+            self.made[ids[some[two]]] = True
+
+    def _stays(self, found: np.ndarray, w: np.ndarray, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Whether the pieces from a to b and from b to c of words w stay side by side.
+
+        Merges are undone from the last one on; a merge across b that would have come first says no.
+        """
+        ok, todo = np.ones(len(w), bool), np.arange(len(w))
+        limit = np.full(len(w), np.iinfo(np.int64).max)
+        most, rank = found.shape[2], self.rank
+        while len(todo):
+            over = np.where(c - a <= most, found[w, a, np.minimum(c - a, most) - 1], -1)
+            bad = (over >= 0) & (rank[over] < limit)
+            ok[todo[bad]] = False
+            left, right = found[w, a, b - a - 1], found[w, b, c - b - 1]
+            r1, r2 = rank[left], rank[right]
+            on = ~bad & (np.maximum(r1, r2) >= 0)
+            first = r1 > r2  # the left piece was made later
+            limit = np.where(first, r1, r2 + 1)
+            a = np.where(first, a + self.left[left], a)
+            c = np.where(first, c, b + self.left[right])
+            todo, limit, w, a, b, c = todo[on], limit[on], w[on], a[on], b[on], c[on]
+        return ok
+
+    def best_pieces(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Word, start and length of the pieces of each word's BPE encoding, by Viterbi over the end positions."""
+        n, length, most = found.shape
+        back = np.zeros((n, length + 1), np.int64)
+        for end in range(1, length + 1):
+            sizes = np.arange(1, min(end, most) + 1)
+            ids = found[:, end - sizes, sizes - 1]
+            w, z = np.nonzero(((ids >= 0) & self.made[ids]) | (sizes == 1))
+            start = end - sizes[z]
+            gain = np.zeros((n, len(sizes)), bool)
+            inner = start > 0
+            gain[w[~inner], z[~inner]] = True
+            w, z, start = w[inner], z[inner], start[inner]
+            gain[w, z] = self._stays(found, w, start - back[w, start], start, np.full(len(w), end))
+            back[:, end] = sizes[gain.argmax(axis=1)]
+        return self._path(back)
+
+    @staticmethod
+    def _path(back: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces that the backpointers lead over."""
+        n, length = back.shape[0], back.shape[1] - 1
         end, on, size = np.full(n, length), np.arange(n), np.zeros((n, length), np.int64)
         while len(on):  # all words step back together
             z = back[on, end[on]]
@@ -147,40 +218,6 @@ class SentencePieceModel:
         w, s = np.nonzero(size)
         return w, s, size[w, s]
 
-    def merges(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Word, start and length of each symbol that is left after all merges."""
-        n, length, most = found.shape
-        none = np.float32(-np.inf)
-        after = np.repeat(np.minimum(np.arange(1, length + 2), length)[None, :], n, axis=0)  # where the next symbol begins
-        before = np.repeat(np.arange(-1, length)[None, :], n, axis=0)
-        alive = np.ones((n, length), bool)
-        score = np.r_[self.score, none]  # id -1: no piece
-        gain = np.full((n, length), none)  # of merging the symbol here with the next one
-        if most > 1:
-            gain[:, :-1] = score[found[:, :-1, 1]]
-        live = np.arange(n)
-
-        def merged(w: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-            return np.where(e - s <= most, score[found[w, s, np.minimum(e - s, most) - 1]], none)
-
-        while len(live):
-            part = gain[live]
-            pick = part.argmax(axis=1)
-            on = part[np.arange(len(live)), pick] > none
-            live, i = live[on], pick[on]
-            j = after[live, i]
-            k = after[live, j]
-            after[live, i] = k
-            before[live, k] = i
-            alive[live, j] = False
-            gain[live, j] = none
-            gain[live, i] = np.where(k < length, merged(live, i, after[live, k]), none)
-            p = before[live, i]
-            left = p >= 0
-            gain[live[left], p[left]] = merged(live[left], p[left], k[left])
-        w, s = np.nonzero(alive)
-        return w, s, after[w, s] - s
-
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words, one after the other, and where each word's end."""
         sizes = np.fromiter(map(len, words), np.int64, len(words))
@@ -194,7 +231,7 @@ class SentencePieceModel:
                 some = members[lo : lo + step]
                 points = flat[start[some][:, None] + np.arange(length)]
                 found = self.substrings(points)
-                w, s, z = self.merges(found) if self.kind == BPE else self.viterbi(found)
+                w, s, z = self.best_pieces(found) if self.kind == BPE else self.viterbi(found)
                 key = found[w, s, z - 1].astype(np.int64)
                 parts.append((some[w], s, np.where(key >= 0, key, -1 - points[w, s])))
         word, place, ids = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3
