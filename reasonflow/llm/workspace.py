@@ -1,8 +1,9 @@
 """Intermediate tables in the folder that the cluster shares.
 
 A table written here cuts lineage and outlives lost executors.  The folder is
-``spark.checkpoint.dir`` of the session; only where that is unset (as in tests) a
-temporary one is made and set.
+``spark.checkpoint.dir`` of the session, or the one given to ``SparkContext.setCheckpointDir``;
+a session without either is refused unless it runs in one process (as in tests), where a temporary
+folder is as good as a shared one.
 """
 
 from __future__ import annotations
@@ -16,11 +17,13 @@ KEY = "spark.checkpoint.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    found = spark.conf.get(KEY, None)
+    context = spark.sparkContext
+    found = spark.conf.get(KEY, None) or context.getCheckpointDir()
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="reasonflow-")
-        spark.conf.set(KEY, found)
-        spark.sparkContext.setCheckpointDir(found)
+        if not context.master.startswith("local"):
+            raise ValueError(f"set {KEY} to a folder that the driver and all executors share")
+        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="reasonflow-"))
+        found = context.getCheckpointDir()
     return found.rstrip("/")
 
 
