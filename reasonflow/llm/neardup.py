@@ -7,11 +7,12 @@ sketches merge by the maximum of each register.
 
 Equal sets are one class from the start.  Classes meet in buckets of equal bands of
 registers; the number of bands is set so that a pair at the threshold meets with a
-probability of 1 - 1e-6 or more.  A pair goes on if its joint likelihood allows the
+probability of 1 - 1e-6 or more.  A pair goes on at once if its joint likelihood allows the
 threshold, and is then confirmed on the full sets.  Each bucket links its members to its
-least one, so a group of copies costs a row per member.  The members of buckets that still
-hold several components are then compared across components by an exact prefix filter, so no
-link that a bucket can show is lost.
+least one, so a group of copies costs a row per member.  The members of all buckets that
+still hold several components, those of unlikely pairs too, are then compared across components by
+an exact prefix filter, so no link that a bucket can show is lost.  Components are found
+among classes; equal documents take that of their class.
 """
 
 from __future__ import annotations
@@ -180,28 +181,36 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     nodes = rows.where("n_shingles > 0 and doc_id is not null")
     same = ["s1", "s2", "n_shingles"]
     classes = materialise(nodes.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.any_value("sketch").alias("sketch")), "classes")
-    members = nodes.join(classes.select(*same, "rep"), same).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    members = materialise(nodes.join(classes.select(*same, "rep"), same).select("doc_id", "n_shingles", "rep"), "members")
+    # an id whose rows have several sets links their classes
+    several = materialise(members.groupBy("doc_id").agg(F.min("rep").alias("c0"), F.max("rep").alias("c1")).where("c0 < c1").select("doc_id"), "several")
+    bridges = members.join(several, "doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
 
     keys = classes.mapInArrow(_bucket_keys(m), "key long, rep long")
-    shared = materialise(keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other"), F.count("*").alias("size")).where("centre < other").drop("other"), "shared")
-    buckets = materialise(keys.join(shared, "key").select("key", "rep", "centre", "size"), "buckets")
+    shared = materialise(keys.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("other")).where("centre < other").drop("other"), "shared")
+    buckets = materialise(keys.join(shared, "key").select("key", "rep", "centre"), "buckets")
     pairs = buckets.where("rep <> centre").select(F.col("rep").alias("x"), F.col("centre").alias("y")).distinct()
     likely = _likely_pairs(pairs, classes, percent, m)
     # all texts that may be wanted are fetched at once, by one deal of the documents at any size
-    wanted = likely.select(F.col("x").alias("doc_id")).unionByName(likely.select(F.col("y").alias("doc_id"))).unionByName(buckets.where("size > 2").select(F.col("rep").alias("doc_id"))).distinct()
+    wanted = buckets.select(F.col("rep").alias("doc_id")).distinct()
     texts = materialise(docs.join(wanted.hint("merge"), "doc_id").distinct(), "texts")  # rows that share an id make a text each: any pair of theirs may link
     links = _confirmed(likely, texts, shingle, percent)
 
     # a first name for what belongs together, one link deep: too many names cost comparisons, no links
     label = links.groupBy(F.col("x").alias("rep")).agg(F.min("y").alias("component"))
-    named = buckets.where("size > 2").select("key", "rep").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    named = buckets.select("key", "rep").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = materialise(named.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("key"), "mixed")
     rest = materialise(named.join(mixed, "key").select("rep", "component").distinct(), "rest")
     links = links.unionByName(_exact_links(rest, texts, shingle, percent))
 
-    final = connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(members))
-    final = final.withColumnRenamed("node", "doc_id").withColumnRenamed("component", "found")
-    return rows.select("doc_id", "n_shingles").join(final, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
+    found = materialise(connected_components(links.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(bridges)), "components")
+    named = members.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
+    # rows without shingles stand alone, or go with other rows of their id
+    alone = rows.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles")
+    others = members.join(alone.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("rep").alias("rep"))
+    others = others.join(found, F.col("rep") == F.col("node"), "left").select("doc_id", F.coalesce("component", "rep").alias("found"))
+    alone = alone.join(others, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("found", "doc_id").alias("component_id"))
+    return named.unionByName(alone)
 
 
 def _exact_links(rest: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
