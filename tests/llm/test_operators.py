@@ -114,10 +114,9 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
 def test_piece_memory_is_exact():
     from tokenizers import Tokenizer
 
-    odd = ["", " ", "a  b", " a", "a ", "a\n b", "\ta b", "a\x00b \x00", "<|endoftext|> x", "é é ́ ́", "don't we'll", "a  b", "a b a b"]
+    odd = ["", " ", "a  b", " a", "a ", "a\n b", "\ta b", "a\x00b \x00", "<|endoftext|> x", "a <|endoftext|> b", "x<|startoftext|>y z", "A <|ENDOFTEXT|> b", "é é ́ ́", "don't we'll", "a  b", "a b a b"]
     for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
         own, t = PieceEncoder(P.path(name), bits=8), Tokenizer.from_file(P.path(name))
-        t.encode_special_tokens = True
         for texts in (odd, odd[::-1], [f"w{i} w{i}x" for i in range(50)], odd):
             ids, at = own.encode(pa.array(texts))
             assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
