@@ -6,11 +6,8 @@ import html
 
 from pyspark.sql import functions as F
 
-import public_tokenizers as P
 from reasonflow import derived
 from reasonflow.catalogue import QUERIES
-from reasonflow.llm import tokenbin
-from reasonflow.llm.tokens import PieceEncoder
 from reasonflow.operators import dags
 
 
@@ -72,22 +69,3 @@ def test_long_chains_have_their_depth(spark, tmp_path):
     edges = [(g, str(i), str((i + 1) % n)) for g, n in ((1, 4), (2, 40)) for i in range(n)]
     cyclic = dags.longest_paths(spark.createDataFrame(nodes, schema[0]), spark.createDataFrame(edges, schema[1]), "g").collect()
     assert {(r.g, r.depth, r.width) for r in cyclic} == {(1, 0, 0), (2, 0, 0)}
-
-
-def test_dictionary_sample_is_bounded_and_has_long_texts(spark):
-    copies = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one text").alias("text"))
-    assert tokenbin.dictionary_sample(copies, 100, 50).count() == 100
-    long = spark.range(20).select(F.col("id").alias("doc_id"), F.concat(F.lit("a" * 50), F.lit("b" * 50), F.lit("c" * 7)).alias("text"))
-    got = [r.text for r in tokenbin.dictionary_sample(long, 100, 50).collect()]
-    assert len(got) == 20 and set(got) <= {"a" * 50, "b" * 50, "c" * 7} and len(set(got)) > 1
-    words = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3000)), lambda i: F.concat(F.lit("w"), (i * F.col("id") % 97).cast("string"))), " ")
-    texts = spark.range(80).select(F.col("id").alias("doc_id"), words.alias("text"))
-    assert texts.where("length(text) <= 8192").where("doc_id > 0").isEmpty()
-    assert tokenbin.train_dictionary(texts, P.path("byte_bpe_50k.json"), 2, longest=8192)
-
-
-def test_more_pieces_than_the_table_holds():
-    own, texts = PieceEncoder(P.path("byte_bpe_50k.json"), bits=8), [" ".join(f"w{i}x{i}" for i in range(300)), "w1x1 w2 end", ""]
-    for some in (texts, texts[::-1], texts[1:]):
-        ids, at = own.encode(some, 2)
-        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [[*own.tokenizer.encode(x, add_special_tokens=False).ids, 2] for x in some]
