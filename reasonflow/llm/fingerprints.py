@@ -91,26 +91,51 @@ def _place(x: Column, bounds: list[int]) -> Column:
     return F.when(x.isNull(), F.lit(n + 1)).otherwise(let(coarse, fine))
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """Adds next_<column> of the row that follows in descending doc_id (nulls last, ties by text; after the last the first).
+#: At most so many quantiles of the ids are asked for; more buckets are made by parting these evenly.
+QUANTILES = 2048
 
-    Rows are dealt to buckets of neighbouring ids by quantiles, of which there are a few for each shuffle
-    partition; each bucket's last row takes the first of the next bucket.
+
+def _buckets(docs: DataFrame, n: int) -> Column:
+    """A number for each row that doesn't fall as doc_id goes down, nulls last, of about ``n`` values."""
+    q = min(n, QUANTILES)
+    parts = -(-n // q)
+    (bounds,) = docs.agg(F.percentile_approx("doc_id", [i / q for i in range(1, q)], 10 * q)).first()  # q - 1 numbers
+    bounds = sorted(set(bounds or []))
+    place = _place(F.col("doc_id"), bounds).cast("int")
+    if parts == 1 or len(bounds) < 2:
+        return place
+
+    def parted(b: Column) -> Column:
+        """Between two bounds ids are parted by their distance from the upper one; beyond them they aren't."""
+        down, x = F.lit(bounds[::-1]), F.col("doc_id")
+        upper, lower = F.get(down, b - 1), F.get(down, b)
+        part = F.floor((upper - x).cast("double") / (upper - lower).cast("double") * parts).cast("int")
+        return b * parts + F.coalesce(F.when(x.isNotNull(), F.least(part, F.lit(parts - 1))), F.lit(0))
+
+    return let(place, parted)
+
+
+def with_next(docs: DataFrame, columns: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """Adds next_text and next_<name> of the row that follows in descending doc_id (nulls last, ties by text; after the last the first).
+
+    ``columns`` are made from the text, once for each row.  Rows are dealt to buckets of neighbouring
+    ids by quantiles, of which there are a few for each shuffle partition; each bucket's last row takes the
+    first of the next bucket, which is found from ids and texts alone.
     """
-    n = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    at = F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10 * n)
-    (bounds,) = docs.agg(at).first()  # n - 1 numbers
-    docs = docs.withColumn("bucket", _place(F.col("doc_id"), sorted(set(bounds or []))).cast("int"))
+    bucket = _buckets(docs, 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    docs = docs.withColumn("bucket", bucket)
     # the first row of each bucket: found by its id alone, so that no text is moved for it
     top = docs.groupBy("bucket").agg(F.max("doc_id").alias("top"))
     heads = docs.join(F.broadcast(top.withColumnRenamed("bucket", "b")), (F.col("bucket") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("top")))
-    heads = heads.groupBy("bucket").agg(F.min(F.struct("text", *[c for c in columns if c != "text"])).alias("h"))
-    order = Window.orderBy("bucket")  # one row a bucket
-    turn = heads.select("bucket", F.lag("bucket").over(order).alias("b"), F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("z"))
-    heads = heads.join(F.broadcast(turn), "bucket").select(F.coalesce("b", "z").alias("bucket"), "h")
+    heads = heads.groupBy("bucket").agg(F.min("text").alias("text"))  # one row a bucket
+    order = Window.orderBy("bucket")
+    turn = top.select("bucket", F.lag("bucket").over(order).alias("b"), F.max("bucket").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("z"))
+    heads = heads.join(F.broadcast(turn), "bucket").select(F.coalesce("b", "z").alias("bucket"), F.struct("text", *[f(F.col("text")).alias(c) for c, f in columns.items()]).alias("h"))
+    names = ["text", *columns]
+    docs = docs.select("*", *[f(F.col("text")).alias(c) for c, f in columns.items()])
     row = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    led = docs.select("*", *[F.lead(c).over(row).alias(f"lead_{c}") for c in columns])
-    return led.join(heads, "bucket").select(*docs.drop("bucket").columns, *[F.when(F.col("lead_text").isNull(), F.col(f"h.{c}")).otherwise(F.col(f"lead_{c}")).alias(f"next_{c}") for c in columns])
+    led = docs.select("*", *[F.lead(c).over(row).alias(f"lead_{c}") for c in names])
+    return led.join(heads, "bucket").select(*docs.drop("bucket").columns, *[F.when(F.col("lead_text").isNull(), F.col(f"h.{c}")).otherwise(F.col(f"lead_{c}")).alias(f"next_{c}") for c in names])
 
 
 def edited_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
@@ -118,11 +143,11 @@ def edited_fingerprints(docs: DataFrame, k: int = 5) -> DataFrame:
 
     The edited text has its last half (floor of n_chars / 2 code points) replaced by as many
     code points from the start of the next text, or all it has.  A null text counts as
-    empty; repeated rows follow one another.
+    empty and its fingerprint is empty; rows with a null id come last; repeated rows follow one
+    another, ordered by text; the only row of a table is its own next.  Empty table: empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("bins", F.transform(fingerprint(F.col("text"), k), lambda x: (x - 128).cast("tinyint")))
-    rows = with_next(docs, ["text", "bins"])
+    rows = with_next(docs, {"bins": lambda text: F.transform(fingerprint(text, k), lambda x: (x - 128).cast("tinyint"))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half)))
