@@ -61,7 +61,7 @@ def ged(spark: SparkSession, a: argparse.Namespace) -> None:
 
 
 def choose(spark: SparkSession, a: argparse.Namespace) -> None:
-    rows = records.with_position(records.read_jsonl(spark, a.input, schemas.GED_RESULT))
+    rows = records.read_jsonl(spark, a.input, schemas.GED_RESULT, position=True)
     records.write_jsonl(select.training_rows(select.top_k(rows, a.top_k, a.min_range)), a.output)
     select.filter_reasons(rows, a.top_k, a.min_range).show()
 

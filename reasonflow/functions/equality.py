@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .latex import same_expression
+from .latex import same_equation, same_expression
 from .normalize import let, parse_number
 
 TOLERANCE = 1e-7
@@ -65,8 +65,7 @@ def equal(a: str, b: str) -> bool:
             return True
     sides = [s.split("=") for s in (a, b)]
     if len(sides[0]) == len(sides[1]) == 2:
-        p, q = (f"{s[0].strip()} - ({s[1].strip()})" for s in sides)
-        return same_expression(p, q) or same_expression(f"-({p})", q) or same_expression(a, b)
+        return same_equation(tuple(sides[0]), tuple(sides[1]))
     if len(sides[0]) == 2 and len(sides[0][0].strip()) <= 2 and len(sides[1]) == 1:
         return equal(sides[0][1], b)
     if len(sides[1]) == 2 and len(sides[1][0].strip()) <= 2 and len(sides[0]) == 1:

@@ -7,14 +7,21 @@ are taken as equal if they agree at several fixed points where both are defined.
 from __future__ import annotations
 
 import cmath
+import hashlib
 import math
 import re
+from collections.abc import Callable
 
 TOKEN = re.compile(r"\s*(\\[A-Za-z]+|\\.|\d+\.?\d*|\.\d+|\*\*|[A-Za-z]|[-+*/^(){}\[\]_=,|!<>])")
 FUNCTIONS = {"sin": cmath.sin, "cos": cmath.cos, "tan": cmath.tan, "log": cmath.log, "ln": cmath.log, "exp": cmath.exp, "sqrt": cmath.sqrt, "arcsin": cmath.asin, "arccos": cmath.acos, "arctan": cmath.atan, "asin": cmath.asin, "acos": cmath.acos, "atan": cmath.atan, "sinh": cmath.sinh, "cosh": cmath.cosh, "tanh": cmath.tanh, "cot": lambda x: 1 / cmath.tan(x), "sec": lambda x: 1 / cmath.cos(x), "csc": lambda x: 1 / cmath.sin(x)}
 CONSTANTS = {"pi": math.pi, "infty": math.inf}
-#: Points at which names take their values.
-POINTS = (0.7390851, 1.3247179, 2.2360679, 0.3183098)
+#: How many points names take values at, and how many tokens an expression may have: effort is bounded, not seconds.
+POINTS, MOST_TOKENS, MOST_BINOMIAL = 6, 20_000, 1000
+
+
+def point(name: str, seed: int) -> float:
+    """The value of a name at a point, between 0.3 and 2.3: another one for each name."""
+    return 0.3 + 2 * int.from_bytes(hashlib.blake2b(f"{seed}:{name}".encode(), digest_size=8).digest()) / 2**64
 
 
 class Unreadable(ValueError):
@@ -29,6 +36,8 @@ def tokens(text: str) -> list[str]:
         if not m:
             raise Unreadable(text)
         out.append(m[1])
+        if len(out) > MOST_TOKENS:
+            raise Unreadable("too long")
         at = m.end()
     return [t for t in out if t not in ("\\left", "\\right", "\\,", "\\;", "\\!", "\\ ", "\\displaystyle", "\\mathrm", "\\mathbf")]
 
@@ -129,6 +138,8 @@ class Parser:
             return a / self.argument()
         if t == "\\binom":
             n, k = self.argument(), self.argument()
+            if n.imag or k.imag or n.real != int(n.real) or k.real != int(k.real) or not 0 <= k.real <= n.real <= MOST_BINOMIAL:
+                raise Unreadable(t)
             return complex(math.comb(int(n.real), int(k.real)))
         if t == "\\sqrt":
             n = 2.0
@@ -172,29 +183,43 @@ class Parser:
             while sub == "{" or sub[-1] not in "}" and "{" in sub:
                 sub += self.next() or "}"
             name += "_" + sub
-        return complex(self.names.setdefault(name, POINTS[(sum(map(ord, name)) + self.seed) % len(POINTS)] + 0.137 * self.seed + 0.01 * (sum(map(ord, name)) % 17)))
+        return complex(self.names.setdefault(name, point(name, self.seed)))
 
 
 def evaluate(text: str, seed: int = 0) -> complex:
     return Parser(text, {}, seed).value()
 
 
-def same_expression(a: str, b: str, tolerance: float = 1e-7) -> bool:
-    """Whether both agree at all fixed points at which both have a value; false if either can't be read."""
+def _near(x: complex, y: complex, tolerance: float) -> bool:
+    if cmath.isinf(x) or cmath.isinf(y):
+        return x == y
+    return abs(x - y) <= max(tolerance, 1e-9 * max(abs(x), abs(y)))
+
+
+def _agree(texts: list[str], test: Callable[..., bool]) -> bool:
+    """Whether ``test`` of the values holds at all fixed points at which all texts have one; false if any can't be read."""
     agreed = 0
-    for seed in range(4):
+    for seed in range(POINTS):
         try:
-            x, y = evaluate(a, seed), evaluate(b, seed)
+            values = [evaluate(t, seed) for t in texts]
         except (Unreadable, RecursionError):
             return False
         except (ZeroDivisionError, OverflowError, ValueError):
             continue
-        if cmath.isinf(x) or cmath.isinf(y):
-            if x != y:
-                return False
-        elif cmath.isnan(x) or cmath.isnan(y):
+        if any(map(cmath.isnan, values)):
             continue
-        elif abs(x - y) > max(tolerance, 1e-9 * max(abs(x), abs(y))):
+        if not test(*values):
             return False
         agreed += 1
     return agreed > 0
+
+
+def same_expression(a: str, b: str, tolerance: float = 1e-7) -> bool:
+    """Whether both have the same value wherever both have one."""
+    return _agree([a, b], lambda x, y: _near(x, y, tolerance))
+
+
+def same_equation(a: tuple[str, str], b: tuple[str, str], tolerance: float = 1e-7) -> bool:
+    """Whether the two sides of one equation are everywhere as far apart as those of the other, in the same or in the other direction."""
+    sides = [*a, *b]
+    return any(_agree(sides, lambda w, x, y, z, sign=sign: _near(w - x, sign * (y - z), tolerance)) for sign in (1, -1))

@@ -36,6 +36,7 @@ def _put(old: str, new: str = "") -> Callable[[Column], Column]:
     return lambda x: F.replace(x, F.lit(old), F.lit(new))
 
 
+# The patterns of roots, units and bare arguments, and the order of replacements, in the functions below.
 def plain_symbols(x: Column) -> Column:
     """Roots, digits in other fonts, subscripts and symbols as LaTeX."""
     x = F.regexp_replace(x, r"√(\([^()]*\)|[A-Za-z0-9]+)", r"\\sqrt{$1}")

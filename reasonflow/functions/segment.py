@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# From what length on a chunk is cut further, and what length a step has at least.
 THRESHOLD, MIN_STEP = 300, 20
 NUL = "\x00"
 # What opens and closes formulas, in the order of replacement.
@@ -24,6 +25,7 @@ FORMULAS = [
 # Words that open a new thought.
 CONNECTORS = r"Therefore|Thus|Hence|So,?\s|Now,?\s|Next,?\s|First,?\s|Then,?\s|Since\s|Because\s|Note\sthat\s|We\s(?:can|need|know|have|get|see|find|note|observe|use|compute|calculate)"
 CONNECTORS_ZH = "因此|所以|那么|接下来|首先|由于|已知"
+# Where chunks are cut, from headers to sentences, and what is a display formula alone.
 HEADER = r"(?m)(?d)(?U)(?=^#{1,4}\s)"
 BLANK_LINE = r"(?U)\n\s*\n"
 NUMBERED = r"(?m)(?d)(?U)(?=^\d+\.\s)"
@@ -50,7 +52,7 @@ def _each(chunks: Column, split: Callable[[Column], Column]) -> Column:
 
 
 def _or_self(parts: Column, chunk: Column) -> Column:
-    return F.when(F.size(parts) == 0, F.array(chunk)).otherwise(parts)
+    return _let(parts, lambda p: F.when(F.size(p) == 0, F.array(chunk)).otherwise(p))
 
 
 def _filled(parts: Column) -> Column:
@@ -83,7 +85,7 @@ def _numbered(x: Column, kind: str) -> Column:
 def restore(chunks: Column, found: Column) -> Column:
     """Puts formulas back, the last found first, twice: a formula may hold placeholders of others."""
     once = lambda c, f: F.aggregate(F.reverse(f), c, lambda a, e: F.replace(a, e["k"], e["v"]))
-    return F.transform(chunks, lambda c: _let(once(c, found), lambda d: once(d, found)))
+    return F.transform(chunks, lambda c: F.when(c.contains(NUL), _let(once(c, found), lambda d: F.when(d.contains(NUL), once(d, found)).otherwise(d))).otherwise(c))
 
 
 def connector_split(chunk: Column, threshold: int) -> Column:
@@ -95,26 +97,38 @@ def sentence_split(chunk: Column, threshold: int = THRESHOLD) -> Column:
     return F.when(F.length(chunk) <= threshold, F.array(chunk)).otherwise(_or_self(_filled(F.split(chunk, SENTENCE, -1)), chunk))
 
 
+def _joined(chunks: Column, joins: Callable[[Column, Column], Column]) -> Column:
+    """Chunks, each one that ``joins`` (the step before it so far, the chunk) put below that step.
+
+    Where steps end is found first; then each step's chunks are put together once.
+    """
+    size = F.size(chunks)
+    zero = F.struct(F.lit(None).cast("string").alias("last"), F.array().cast("array<int>").alias("heads"), F.lit(1).alias("at"))
+
+    def step(a: Column, c: Column) -> Column:
+        on = a["last"].isNotNull() & joins(a["last"], c)
+        return F.struct(F.when(on, F.concat(a["last"], F.lit("\n"), c)).otherwise(c).alias("last"), F.when(on, a["heads"]).otherwise(F.concat(a["heads"], F.array(a["at"]))).alias("heads"), (a["at"] + 1).alias("at"))
+
+    def parts(heads: Column) -> Column:
+        return F.transform(heads, lambda h, i: F.array_join(F.slice(chunks, h, F.coalesce(F.get(heads, i + 1), size + 1) - h), "\n"))
+
+    return _let(F.aggregate(chunks, zero, step)["heads"], parts)
+
+
 def merge_short(chunks: Column, min_step: int = MIN_STEP) -> Column:
     """Stripped non-empty chunks; one that follows a step still shorter than ``min_step`` joins it, and so does a short last one the step before it."""
     clean = F.filter(F.transform(chunks, strip), lambda c: c != "")
-    def add(a: Column, c: Column) -> Column:
-        last = F.element_at(a, -1)
-        short = (F.size(a) > 0) & (F.length(F.get(a, F.size(a) - 1)) < min_step)
-        return F.when(short, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat(last, F.lit("\n"), c)))).otherwise(F.concat(a, F.array(c)))
-    folded = F.aggregate(clean, F.array().cast("array<string>"), add)
     def close(a: Column) -> Column:
         n = F.size(a)
         return F.when((n > 1) & (F.length(F.get(a, n - 1)) < min_step), F.concat(F.slice(a, F.lit(1), n - 2), F.array(F.concat(F.get(a, n - 2), F.lit("\n"), F.get(a, n - 1))))).otherwise(a)
-    return _let(folded, close)
+    return _let(_let(clean, lambda c: _joined(c, lambda last, _: F.length(last) < min_step)), close)
 
 
 def merge_display(chunks: Column) -> Column:
     """A chunk that is a display formula joins the one before it."""
-    def add(a: Column, c: Column) -> Column:
-        joins = (F.size(a) > 0) & c.rlike(DISPLAY_ONLY)
-        return F.when(joins, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(F.concat(F.element_at(a, -1), F.lit("\n"), c)))).otherwise(F.concat(a, F.array(c)))
-    return F.aggregate(chunks, F.array().cast("array<string>"), add)
+    merged = lambda c: _joined(c, lambda _, x: x.rlike(DISPLAY_ONLY))
+    shown = lambda c: F.exists(c, lambda x: x.startswith("\\[") | x.startswith("$$") | x.rlike(r"(?U)^\s+(\\\[|\$\$)"))
+    return _let(chunks, lambda c: F.when(shown(c), merged(c)).otherwise(c))
 
 
 def segment(text: Column, threshold: int = THRESHOLD, min_step: int = MIN_STEP) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dagjson import dependency_kind
+from .ranks import medians
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -102,17 +103,23 @@ def tag_distribution(entries: DataFrame) -> DataFrame:
 def compression_effect(df: DataFrame) -> DataFrame:
     """One row over ratio, absorbed, before and after: how much graphs shrank and what that did to their similarity."""
     change = F.col("after") - F.col("before")
-    return df.agg(
-        F.count("ratio").alias("n"), F.avg("ratio").alias("ratio_mean"), F.median("ratio").alias("ratio_median"), F.min("ratio").alias("ratio_min"), F.max("ratio").alias("ratio_max"), F.when(F.count("ratio") > 1, F.stddev_samp("ratio")).alias("ratio_stdev"),
-        F.avg("absorbed").alias("absorbed_mean"), F.sum("absorbed").alias("absorbed_total"), F.avg(change).alias("change_mean"), F.median(change).alias("change_median"), F.count_if(change > 0).alias("improved"), F.count_if(change < 0).alias("degraded"), F.count_if(change == 0).alias("unchanged"),
+    middle = medians(df.select(F.col("ratio").alias("ratio_median"), change.alias("change_median")), "ratio_median", "change_median")
+    out = df.agg(
+        F.count("ratio").alias("n"), F.avg("ratio").alias("ratio_mean"), F.min("ratio").alias("ratio_min"), F.max("ratio").alias("ratio_max"), F.when(F.count("ratio") > 1, F.stddev_samp("ratio")).alias("ratio_stdev"),
+        F.avg("absorbed").alias("absorbed_mean"), F.sum("absorbed").alias("absorbed_total"), F.avg(change).alias("change_mean"), F.count_if(change > 0).alias("improved"), F.count_if(change < 0).alias("degraded"), F.count_if(change == 0).alias("unchanged"),
     )
+    return out.crossJoin(middle)  # one row each
 
 
 def stability(pairs: DataFrame, key: str = "problem_id") -> DataFrame:
     """By problem and in all (key null): statistics of ``similarity`` over pairs; a null similarity is a failed pair.  Bands from 0.95 and 0.85."""
     s = F.col("similarity")
-    out = pairs.rollup(key).agg(F.count("*").alias("pairs"), F.count_if(s.isNull()).alias("failed"), F.avg(s).alias("mean"), F.median(s).alias("median"), F.stddev_samp(s).alias("stdev"), F.min(s).alias("min"), F.max(s).alias("max"))
-    return out.withColumn("band", F.when(F.col("mean") > 0.95, "high").when(F.col("mean") > 0.85, "moderate").when(F.col("mean").isNotNull(), "low"))
+    told = [F.count("*").alias("pairs"), F.count_if(s.isNull()).alias("failed"), F.avg(s).alias("mean"), F.stddev_samp(s).alias("stdev"), F.min(s).alias("min"), F.max(s).alias("max")]
+    by_problem = pairs.groupBy(key).agg(*told, F.median(s).alias("median"))  # a problem's pairs are few
+    every = pairs.agg(F.lit(None).cast(pairs.schema[key].dataType).alias(key), *told).crossJoin(medians(pairs.select(s.alias("median")), "median"))
+    out = by_problem.unionByName(every.select(by_problem.columns))
+    mean = F.round("mean", 9)  # a band doesn't hang on the order of a sum
+    return out.withColumn("band", F.when(mean > 0.95, "high").when(mean > 0.85, "moderate").when(mean.isNotNull(), "low"))
 
 
 def iteration_pairs(runs: DataFrame, key: str = "problem_id", number: str = "sample_idx", value: str = "dag") -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import with_rank
+
 GROUP = ("problem_id", "variant")
 
 
@@ -47,16 +49,30 @@ def first_n(df: DataFrame, n: int = 50, order: str = "sample_idx") -> DataFrame:
 
 
 def percentile_slices(df: DataFrame, key: str, value: str = "ged", low: float = 10, high: float = 10, by: list[str] | None = None, order: str | None = None) -> DataFrame:
-    """The lowest and highest p percent (one at least) of each group; a row may be in both: category low / high."""
-    by = by or []
-    w, total = Window.partitionBy(*by).orderBy(value, order or key), Window.partitionBy(*by)
-    rows = df.where(F.col(value).isNotNull()).withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count("*").over(total))
+    """The lowest and highest p percent (one at least) of each group, or of all rows; a row may be in both: category low / high."""
+    rows = df.where(F.col(value).isNotNull())
+    if by:
+        w, total = Window.partitionBy(*by).orderBy(value, order or key), Window.partitionBy(*by)
+        rows = rows.withColumn("_rn", F.row_number().over(w)).withColumn("_n", F.count("*").over(total))
+    else:
+        rows = with_rank(rows, value, order or key)
     size = lambda p: F.greatest(F.lit(1), F.floor(F.col("_n") * p / 100.0))
     lows = rows.where(F.col("_rn") <= size(low)).withColumn("category", F.lit("low"))
     highs = rows.where(F.col("_rn") > F.col("_n") - size(high)).withColumn("category", F.lit("high"))
     return lows.unionByName(highs).drop("_rn", "_n")
 
 
+def compared(df: DataFrame) -> DataFrame:
+    """Rows with a distance, or whose search was cut short."""
+    return df.where("ged IS NOT NULL OR timed_out")
+
+
+def by_frequency(df: DataFrame, value: str, order: str) -> DataFrame:
+    """``value`` and n, the most frequent first, among equals the one seen first."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"), F.min(order).alias("_first"))
+    return counts.orderBy(F.desc("n"), "_first").drop("_first")
+
+
 def low_ged(df: DataFrame, most: float = 0.0) -> DataFrame:
     """Similarity rows unpivoted to (problem_id, comparison, ged) with a GED of at most ``most``."""
     names = ["original_vs_simple_ged", "original_vs_hard_ged"]

@@ -56,8 +56,13 @@ def ged_analysis(graphs: DataFrame, attempts: DataFrame, n: int = 50, most: int
     samples = packed(select.first_n(graphs.where("variant IN ('simple', 'hard') AND sample_idx IS NOT NULL"), n), "right").drop("dag")
     labels = attempts.select(F.col("problem_id").cast("string").alias("problem_id"), "variant", "sample_idx", "problem", "response", "correct")
     pairs = base.join(samples, "problem_id").withColumn("s", dags.ged_similarity(compressed=False, most=most)(_as_dag("left"), _as_dag("right")))
-    rows = pairs.join(labels, ["problem_id", "variant", "sample_idx"], "left").where("s.ged IS NOT NULL OR s.timed_out")
-    return rows.select("problem_id", sample_key(F.col("problem_id"), F.col("variant"), F.col("sample_idx")).alias("sample_id"), "variant", "problem", F.coalesce("response", F.lit("")).alias("response"), "correct", "s.ged", "s.similarity_normalized", "s.timed_out", "position")
+    rows = with_labels(select.compared(pairs.select("problem_id", "variant", "sample_idx", "position", "s.*")), labels)
+    return rows.select("problem_id", sample_key(F.col("problem_id"), F.col("variant"), F.col("sample_idx")).alias("sample_id"), "variant", "problem", "response", "correct", "ged", "similarity_normalized", "timed_out", "position")
+
+
+def with_labels(samples: DataFrame, labels: DataFrame) -> DataFrame:
+    """Samples with the other columns of ``labels`` (problem_id, variant, sample_idx, response and others); a sample without them has an empty response."""
+    return samples.join(labels, ["problem_id", "variant", "sample_idx"], "left").withColumn("response", F.coalesce("response", F.lit("")))
 
 
 def _as_dag(c: str) -> Column:
@@ -74,8 +79,8 @@ def training_set(ged: DataFrame, k: int = 5, min_range: float = 1.0, seed: int =
 def checked(attempts: DataFrame, tolerance: float = E.TOLERANCE) -> DataFrame:
     """Attempts with ``is_correct``: the answers of the response against those of the truth.
 
-    Where single answers are equal or both are numbers, built-in functions decide; Python gets
-    the lists of the other rows alone, and nulls for these.
+    Where single answers are equal or both are numbers, built-in functions decide.  Python gets each pair
+    of lists that they leave open once, however many rows have it.
     """
     truth = A.truths(F.col("problem"), F.col("ground_truth"), shape.dataset_type(F.col("variant")))
     found = A.predictions(F.col("problem"), F.coalesce("response", F.lit("")))
@@ -87,13 +92,15 @@ def checked(attempts: DataFrame, tolerance: float = E.TOLERANCE) -> DataFrame:
         n, m = F.size(x["found"]), F.size(x["answers"])
         single = E.quick_equal(F.get(x["found"], F.lit(0)), F.get(x["answers"], F.lit(0)))
         quick = F.when(n == 0, m == 0).when(m == 0, False).when((n == 1) & (m == 1), single)
-        return F.struct(quick.alias("quick"), x["found"].alias("found"), x["answers"].alias("answers"))
+        return F.struct(quick.alias("quick"), F.when(quick.isNull(), x["found"]).alias("found"), F.when(quick.isNull(), x["answers"]).alias("answers"))
 
     both = F.struct(F.array_distinct(truth).alias("answers"), found.alias("found"))
     rows = attempts.withColumn("_v", N.let(N.let(both, lists), verdict))
-    open_ = F.col("_v.quick").isNull()
-    kernel = E.lists_match(F.when(open_, F.col("_v.found")), F.when(open_, F.col("_v.answers")))
-    return rows.withColumn("is_correct", F.coalesce("_v.quick", kernel, F.lit(False))).drop("_v")
+    rows = rows.select(*attempts.columns, F.col("_v.quick").alias("_quick"), F.col("_v.found").alias("_found"), F.col("_v.answers").alias("_answers"))
+    pairs = rows.where("_found IS NOT NULL AND _answers IS NOT NULL").select("_found", "_answers").distinct()
+    decided = pairs.withColumn("_slow", E.lists_match(F.col("_found"), F.col("_answers")))
+    out = rows.join(decided, ["_found", "_answers"], "left")
+    return out.select(*attempts.columns, F.coalesce("_quick", "_slow", F.lit(False)).alias("is_correct"))
 
 
 def evaluation(problems: DataFrame, call: Callable[[str, int, float, float], list[str]], **sampling: float) -> DataFrame:

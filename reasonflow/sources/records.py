@@ -1,7 +1,7 @@
 """JSON-lines and CSV sources and sinks.
 
-Blank lines are skipped by Spark's JSON reader itself.  ``position`` numbers rows in
-file order (file, then place in the file), which operators use to keep ties stable.
+``position`` orders rows as their files do (file by name, block, place in the block), which
+operators use to keep ties stable.
 """
 
 from __future__ import annotations
@@ -15,23 +15,36 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """One row a line.  ``strict``: a bad line is an error; otherwise it is left out (see ``read_permissive``)."""
-    if strict:
-        return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
-    return read_permissive(spark, path, schema).where("_corrupt_record IS NULL").drop("_corrupt_record")
+def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True, blank_lines: bool = True, position: bool = False) -> DataFrame:
+    """One row a line.  ``strict``: a bad line is an error; otherwise it is left out (see ``read_permissive``).
 
+    Blank lines are skipped, or with ``blank_lines=False`` an error too.  ``position``: adds the column of that name.
+    """
+    if not strict:
+        return read_permissive(spark, path, schema, position).where("_corrupt_record IS NULL").drop("_corrupt_record")
+    if blank_lines:
+        rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        return with_position(rows) if position else rows
+    lines = with_position(spark.read.text(path))
+    line = F.when(F.trim("value") == "", F.raise_error(F.lit("a blank line"))).otherwise(F.col("value"))
+    rows = lines.select(F.from_json(line, schema, {"mode": "FAILFAST"}).alias("r"), "position")
+    return rows.select("r.*", *["position"] * position)
 
-def read_permissive(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Bad lines keep their text in ``_corrupt_record``, so that they can be counted or logged."""
+
+def read_permissive(spark: SparkSession, path: str, schema: str, position: bool = False) -> DataFrame:
+    """Bad lines keep their text in ``_corrupt_record``, so that they can be counted or logged.  Blank lines are skipped."""
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    return lines.select(F.from_json("value", f"{schema}, _corrupt_record string", options).alias("r")).select("r.*")
+    lines = with_position(spark.read.text(path)).where(F.trim("value") != "")
+    return lines.select(F.from_json("value", f"{schema}, _corrupt_record string", options).alias("r"), "position").select("r.*", *["position"] * position)
+
 
+def with_position(scan: DataFrame) -> DataFrame:
+    """Adds ``position`` to a scan of files: a struct that sorts as the files' names and the rows in them do.
 
-def with_position(df: DataFrame) -> DataFrame:
-    """Adds ``position``: increasing in file order, not dense."""
-    return df.withColumn("position", F.monotonically_increasing_id())
+    Spark reads blocks in an order of its own, so a row's number alone doesn't tell where it stands.
+    """
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return scan.select("*", place.alias("position"))
 
 
 def head(df: DataFrame, limit: int | None) -> DataFrame:
@@ -71,9 +84,27 @@ def write_jsonl(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+# The lines below the rows of a problem's file, without their numbers.
+SUMMARY, RIGHT, WRONG = "# Summary Statistics", "# Correct avg GED,", "# Incorrect avg GED,"
+
+
 def write_csv_by_problem(df: DataFrame, path: str) -> None:
-    """One folder of CSV files a problem; its summary is ``metrics.ged_summary``, a table of its own."""
-    df.write.mode("overwrite").option("header", True).partitionBy("problem_id").csv(path)
+    """One file a problem: a header, its rows, and a summary of the mean GED by variant of correct and of other rows.
+
+    ``df`` has problem_id, variant, correct and ged, as ``plans.analyses.ged_analysis`` gives them.
+    A variant without rows of a kind has no line of it.
+    """
+    ok = F.coalesce("correct", F.lit(False))
+    mean = lambda keep, v: F.avg(F.when(keep & (F.col("variant") == v), F.col("ged")))
+    told = lambda x, mark: F.concat(F.lit(mark), F.format_string("%.4f", F.bround(x, 4)))  # noqa: E731  ties go to the even digit
+    means = df.groupBy("problem_id").agg(*[mean(k, v).alias(f"{v}_{n}") for v in ("simple", "hard") for n, k in (("right", ok), ("wrong", ~ok))])
+    foot = F.array(F.lit(""), F.lit(SUMMARY), *[x for v in ("simple", "hard") for x in (F.lit(f"# {v.capitalize()}"), told(F.col(f"{v}_right"), RIGHT), told(F.col(f"{v}_wrong"), WRONG))])
+    head_ = F.array(F.lit(",".join(df.columns)))
+    line = lambda part, lines: F.inline(F.transform(lines, lambda x, i: F.struct(F.lit(part).alias("part"), i.alias("nth"), x.alias("value"))))
+    ends = means.select("problem_id", line(0, head_)).unionByName(means.select("problem_id", line(2, F.filter(foot, lambda x: x.isNotNull()))))
+    rows = df.select("problem_id", F.lit(1).alias("part"), F.lit(0).alias("nth"), F.to_csv(F.struct(*df.columns)).alias("value"))
+    lines = ends.unionByName(rows).repartition("problem_id").sortWithinPartitions("problem_id", "part", "nth", "value")
+    lines.drop("part", "nth").write.mode("overwrite").partitionBy("problem_id").text(path)
 
 
 def append_unfinished(df: DataFrame, path: str, *keys: str) -> DataFrame:
@@ -107,20 +138,25 @@ def report_name(stem: str, comparison: str, category: str) -> str:
     return f"{stem}_{comparison}_{category}.html"
 
 
-def write_report(df: DataFrame, path: str, title: str, most: int = 1000) -> None:
-    """A static page with the first rows of a table as JSON: presentation only, hence the limit."""
-    rows = [json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns))).limit(most).collect()]
-    data = json.dumps(rows, ensure_ascii=False).replace("</", "<\\/")
+def write_report(df: DataFrame, path: str, title: str, most: int | None = None) -> None:
+    """A static page with a table as JSON; ``most``: its first rows alone, else all that the caller chose to show.
+
+    Rows are taken partition by partition and written as they come.
+    """
+    rows = head(df, most).select(F.to_json(F.struct(*df.columns))).toLocalIterator()
     body = "const rows=JSON.parse(document.getElementById('rows').textContent);const t=document.body.appendChild(document.createElement('table'));for(const r of rows){const tr=t.insertRow();for(const k in r){const c=tr.insertCell();c.title=k;c.textContent=typeof r[k]==='object'?JSON.stringify(r[k]):r[k]}}"
     with open(path if path.endswith(".html") else path + ".html", "w", encoding="utf-8") as f:
-        f.write(f"<!doctype html><meta charset=utf-8><title>{title}</title><h1>{title}</h1><script type=application/json id=rows>{data}</script><script>{body}</script>")
+        f.write(f"<!doctype html><meta charset=utf-8><title>{title}</title><h1>{title}</h1><script type=application/json id=rows>[")
+        for i, r in enumerate(rows):
+            f.write("," * (i > 0) + r[0].replace("</", "<\\/"))
+        f.write(f"]</script><script>{body}</script>")
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return with_position(read_jsonl(spark, path, schemas.RECORDS))
+    return read_jsonl(spark, path, schemas.RECORDS, position=True)
 
 
 def read_batch_results(spark: SparkSession, path: str) -> DataFrame:
     """custom_id, content and position of each result; bad lines are left out."""
-    raw = with_position(read_jsonl(spark, path, schemas.BATCH_RESULT, strict=False))
+    raw = read_jsonl(spark, path, schemas.BATCH_RESULT, strict=False, position=True)
     return raw.select("custom_id", F.col("response.body.choices")[0]["message"]["content"].alias("content"), "position")
