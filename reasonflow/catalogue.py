@@ -234,7 +234,7 @@ def parse_sample_key(spark: SparkSession, d: str) -> DataFrame:
     return D.ids(spark, d).select("event_id", "custom_id", "problem", "number", K.sample_number(F.col("custom_id")).alias("sample_number"))
 
 
-@query(f"WITH {IDS} SELECT event_id, problem, number, row_number() OVER (ORDER BY number, event_id) AS rank FROM n WHERE event_id < 2000 ORDER BY rank")
+@query(f"WITH {IDS} SELECT event_id, problem, number, row_number() OVER (ORDER BY number, event_id) AS rank FROM n ORDER BY rank")
 def sorted_ids(spark: SparkSession, d: str) -> DataFrame:
     """The rank is for the check of the order; sorting itself needs none."""
     rows = D.ids(spark, d)
@@ -273,7 +273,7 @@ def renest_attempts(spark: SparkSession, d: str) -> DataFrame:
 def label_attach(spark: SparkSession, d: str) -> DataFrame:
     a = D.attempts(spark, d)
     labels = a.where("sample_idx % 2 = 0").select("problem_id", "variant", "sample_idx", "response", "correct")
-    return a.select("problem_id", "variant", "sample_idx").join(labels, ["problem_id", "variant", "sample_idx"], "left").withColumn("response", F.coalesce("response", F.lit("")))
+    return analyses.with_labels(a.select("problem_id", "variant", "sample_idx"), labels)
 
 
 @query(f"{D.ATTEMPTS_SQL} SELECT a.problem_id, a.variant, a.sample_idx AS i, b.sample_idx AS j, a.ged AS a, b.ged AS b FROM attempts a JOIN attempts b USING (problem_id, variant) WHERE a.sample_idx < b.sample_idx")
@@ -429,21 +429,6 @@ def dag_compress(spark: SparkSession, d: str) -> DataFrame:
     return D.dags(spark, d).select("conv_id", dags.compress(F.col("dag")).alias("c")).select("conv_id", "c.*")
 
 
-@query(
-    f"""{D.DAGS_SQL},
-    sig AS (
-        SELECT n.conv_id, n.node::INTEGER AS node, n.tag, coalesce(p.p, '') AS p, coalesce(c.c, '') AS c
-        FROM nodes n LEFT JOIN (SELECT conv_id, dst, string_agg(src, ',' ORDER BY src) AS p FROM edges GROUP BY ALL) p ON p.conv_id = n.conv_id AND p.dst = n.node
-        LEFT JOIN (SELECT conv_id, src, string_agg(dst, ',' ORDER BY dst) AS c FROM edges GROUP BY ALL) c ON c.conv_id = n.conv_id AND c.src = n.node
-        WHERE kind = 'step' AND tag IS NOT NULL),
-    m AS (SELECT *, min(node) OVER (PARTITION BY conv_id, tag, p, c) AS "into" FROM sig)
-    SELECT conv_id, node, "into" FROM m WHERE node <> "into" """
-)
-def fold_once(spark: SparkSession, d: str) -> DataFrame:
-    e = D.entries(spark, d)
-    return dags.fold_signatures(dags.nodes(e, "conv_id"), dags.edges(e, "conv_id"), "conv_id")
-
-
 @query(
     """WITH c AS (SELECT l_quantity / 50 AS ratio, (l_linenumber - 1)::BIGINT AS absorbed, l_discount AS before, l_tax AS after FROM lineitem)
     SELECT count(ratio) AS n, round(avg(ratio), 9) AS ratio_mean, median(ratio) AS ratio_median, min(ratio) AS ratio_min, max(ratio) AS ratio_max, round(stddev_samp(ratio), 9) AS ratio_stdev,
@@ -536,9 +521,7 @@ def feature_cosine(spark: SparkSession, d: str) -> DataFrame:
 def stability_summary(spark: SparkSession, d: str) -> DataFrame:
     a = D.attempts(spark, d).where("variant = 'hard'").withColumn("v", F.when(~F.col("timed_out"), F.col("ged")))
     pairs = metrics.iteration_pairs(a, value="v").withColumn("similarity", 1 - F.abs(F.col("a") - F.col("b")) / 100)
-    out = metrics.stability(pairs)
-    out = out.withColumns({c: F.round(c, 9) for c in ("mean", "median", "stdev", "min", "max")})
-    return out.withColumn("band", F.when(F.col("mean") > 0.95, "high").when(F.col("mean") > 0.85, "moderate").when(F.col("mean").isNotNull(), "low"))
+    return metrics.stability(pairs).withColumns({c: F.round(c, 9) for c in ("mean", "median", "stdev", "min", "max")})
 
 
 @query(

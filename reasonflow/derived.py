@@ -26,7 +26,7 @@ FLAT_SQL = """WITH flat AS (
 
 _DAGS = f"""entries AS (
         SELECT *, CASE WHEN deps = ['0'] THEN 'problem' WHEN list_contains(deps, 'External') THEN 'external' ELSE 'steps' END AS kind FROM (
-            SELECT conv_id, turn AS ord, (turn + 1)::INTEGER AS step_id, {TAGS}[length(text) % 6 + 1] AS tag, text[:40] AS analysis,
+            SELECT conv_id, turn AS ord, (turn + 1)::INTEGER AS step_id, {TAGS}[length(text) % 6 + 1] AS tag, text AS analysis,
                    list_concat(CASE WHEN turn = 0 THEN ['0'] WHEN (turn + 1) % 2 = 0 AND turn + 1 > 2 THEN [turn::VARCHAR, ((turn + 1) // 2)::VARCHAR] ELSE [turn::VARCHAR] END,
                                CASE WHEN length(text) % 5 = 0 THEN ['External'] ELSE [] END) AS deps
             FROM conversations)),

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from reasonflow.catalogue import ORACLES, QUERIES
+from reasonflow.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

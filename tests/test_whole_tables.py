@@ -7,7 +7,7 @@ import html
 from pyspark.sql import functions as F
 
 from reasonflow import derived
-from reasonflow.catalogue import QUERIES
+from reasonflow.registry import QUERIES
 from reasonflow.operators import dags
 
 
