@@ -1,34 +1,13 @@
 """Intermediate tables in the folder that the cluster shares.
 
-A table written here cuts lineage and outlives lost executors.  The folder is
-``spark.checkpoint.dir`` of the session, or the one given to ``SparkContext.setCheckpointDir``;
-a session without either is refused unless it runs in one process (as in tests), where a temporary
-folder is as good as a shared one.
+A table written here cuts lineage and outlives lost executors.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-KEY = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    context = spark.sparkContext
-    found = spark.conf.get(KEY, None) or context.getCheckpointDir()
-    if not found:
-        if not context.master.startswith("local"):
-            raise ValueError(f"set {KEY} to a folder that the driver and all executors share")
-        context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="reasonflow-"))
-        found = context.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/reasonflow/{name}-{uuid.uuid4().hex}"
+from ..sources.shared import new_path, shared_dir
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
