@@ -9,7 +9,7 @@ lost executors cost one stage at most.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reasonflow.llm.neardup import near_duplicates
@@ -18,6 +18,7 @@ from reasonflow.llm.quality import fit_quality, score_quality
 from reasonflow.llm.secrets import redact
 from reasonflow.llm.substring import remove_repeats
 from reasonflow.llm.workspace import materialise
+from reasonflow.operators.ranks import with_rank
 
 #: SQL can't express the classifier, the sketches or the tokens.
 ORACLE_SQL = None
@@ -31,18 +32,27 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, that of the least id.
+    """One document of each near-duplicate group stays, that of the least id (and text, where an id has several).
 
-    Rows that share an id are one document, so one of them stays; rows without an id all stay.
+    Of rows that repeat an id and a text one stays, the one whose other columns have the least hash.  Rows
+    with one id and unlike texts are documents of their own; rows without an id all stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__rf_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__rf_gone"), "left_anti")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    unique = kept.where("doc_id is not null").withColumn("__rf_nth", nth).where("__rf_nth = 1").drop("__rf_nth")
-    return unique.unionByName(kept.where("doc_id is null"))
+    known = docs.where("doc_id is not null")
+    if known.groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = near_duplicates(docs.select("doc_id", "text"), shingle=5, percent=80)
+        gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__rf_gone")).distinct()
+        return docs.join(gone, F.col("doc_id") == F.col("__rf_gone"), "left_anti")
+    # ids repeat: each pair of id and text gets a number of its own, in order
+    pairs = known.select(F.col("doc_id").alias("__rf_id"), F.col("text").alias("__rf_text")).distinct()
+    numbered = materialise(with_rank(pairs, "__rf_id", "__rf_text").select("__rf_id", "__rf_text", F.col("_rn").alias("__rf_n")), "numbered")
+    found = near_duplicates(numbered.select(F.col("__rf_n").alias("doc_id"), F.col("__rf_text").alias("text")), shingle=5, percent=80)
+    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("__rf_n"))
+    stays = numbered.join(stays, "__rf_n").select("__rf_id", "__rf_text")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    one = known.groupBy("doc_id", "text").agg(F.min_by(F.struct(F.lit(0).alias("__rf_0"), *others), F.xxhash64(F.lit(0), *others)).alias("__rf_row"))
+    one = one.join(stays, (F.col("doc_id") == F.col("__rf_id")) & F.col("text").eqNullSafe(F.col("__rf_text")), "left_semi")
+    kept = one.select(*[F.col(c) if c in ("doc_id", "text") else F.col("__rf_row")[c].alias(c) for c in docs.columns])
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +66,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their place in sequences of 1024 tokens."""
-    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024)
+    """Pieces of all documents with their token ids and their place in sequences of 1024 tokens (``packing.sequences`` joins them)."""
+    return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), end=2, capacity=1024, with_ids=True)
 
 
 STAGES = [
