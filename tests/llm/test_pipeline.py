@@ -59,6 +59,14 @@ def test_stages(spark, tables, tmp_path):
         assert r.n_chars == (None if r.text is None else len(r.text))
     assert {r.doc_id for r in seen[4]} == set(got)
     assert max(lengths(seen[4]).values()) <= 1024
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json"))
+    pieces: dict[int, list] = {}
+    for r in sorted(seen[4], key=lambda r: (r.doc_id, r.piece)):
+        pieces.setdefault(r.doc_id, []).extend(r.ids)
+    clean = {r.doc_id: r.text for r in seen[3]}
+    assert pieces == {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in clean.items()}
 
 
 def lengths(rows):
@@ -83,6 +91,19 @@ def test_repeated_rows_leave_one(spark, tables):
     assert len([i for i in ids if i is not None]) == len({i for i in ids if i is not None}) and None in ids
 
 
+def test_ids_with_several_texts(spark, tables):
+    """Unlike texts of one id both stay; a near copy of either goes, whatever its id; of equal rows one stays."""
+    d, _ = tables
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, b, "en", "s", 1), (5, a, "en", "s", 1), (5, a, "en", "t", 2), (9, a + " end", "en", "s", 3), (2, b, "en", "s", 4), (9, c, "en", "s", 5), (9, None, "en", "s", None), (9, None, "en", "s", None), (None, a, "en", "s", 6)]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, SCHEMA), d)
+    assert out.columns == [x.split()[0] for x in SCHEMA.split(", ")]
+    got = sorted((r.doc_id or -1, r.text or "") for r in out.collect())
+    assert got == sorted([(5, a), (2, b), (9, c), (9, ""), (-1, a)])
+    again = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows[::-1], SCHEMA).repartition(3), d)
+    assert sorted(map(str, again.collect())) == sorted(map(str, out.collect()))
+
+
 def test_empty_documents(spark, tables):
     d, _ = tables
     docs = spark.createDataFrame([], SCHEMA)
