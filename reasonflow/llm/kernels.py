@@ -23,7 +23,7 @@ except AttributeError:  # another C library
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text handled in one go, unless a single document is longer.
-STEP_BYTES = 1_000_000
+STEP_BYTES = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -25,7 +25,7 @@ BITS = 17
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: Documents of more words are labelled stretch by stretch.
-LONG = 4096
+LONG = 2048
 #: First code point of each range and its script; 0: none that narrows.  Only letters have a script.
 RANGES = [(0x00, 0), (0x41, 1), (0x5B, 0), (0x61, 1), (0x7B, 0), (0xAA, 1), (0xAB, 0), (0xBA, 1), (0xBB, 0), (0xC0, 1), (0xD7, 0), (0xD8, 1), (0xF7, 0), (0xF8, 1), (0x2B0, 0), (0x370, 2), (0x400, 3), (0x530, 4), (0x590, 5), (0x600, 6), (0x700, 0), (0x900, 7), (0x980, 8), (0xA00, 9), (0xA80, 10), (0xB00, 11), (0xB80, 12), (0xC00, 13), (0xC80, 14), (0xD00, 15), (0xD80, 16), (0xE00, 17), (0xE80, 18), (0xF00, 19), (0x1000, 20), (0x10A0, 21), (0x1100, 22), (0x1200, 23), (0x13A0, 0), (0x1E00, 1), (0x1F00, 2), (0x2000, 0), (0x3040, 24), (0x3100, 0), (0x3400, 25), (0xA000, 0), (0xAC00, 22), (0xD7B0, 0), (0xF900, 25), (0xFB00, 0), (0x20000, 25), (0x31350, 0)]
 N_SCRIPTS = 26

@@ -103,9 +103,9 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, i
 
     A null text counts as empty and gives one piece with the end id alone; repeated
     rows give repeated pieces.  Only documents longer than ``capacity`` are cut; the
-    remainder comes first.  ``with_ids`` adds the ids themselves.
+    remainder comes first.  ``with_ids`` adds the ids themselves, as little-endian unsigned 32-bit numbers.
     """
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids array<int>" * with_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -134,7 +134,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, end: int, capacity: int, i
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth"]
                 if with_ids:
                     # pieces lie end to end in ids, so their ends are the list offsets
-                    cols.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)], pa.int32()), pa.array(ids.view(np.int32))))
+                    ends = np.r_[0, 4 * np.cumsum(length)].astype(np.int64)
+                    cols.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(length), [None, pa.py_buffer(ends), pa.py_buffer(ids.astype("<u4"))]).cast(pa.binary()))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
@@ -166,6 +167,6 @@ def pack_documents(docs: DataFrame, tokenizer: str, end: int = 2, capacity: int
 
 
 def sequences(packed: DataFrame) -> DataFrame:
-    """Token lists of the sequences of ``pack_documents(..., with_ids=True)``: sequence_id, length, ids, doc_ids."""
+    """The sequences of ``pack_documents(..., with_ids=True)``: sequence_id, length, ids (bytes, as of the pieces), doc_ids.  Each has one row, of ``capacity`` ids at the most."""
     parts = F.array_sort(F.collect_list(F.struct("offset", "doc_id", "ids")))
-    return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("p")).select("sequence_id", "length", F.flatten("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"))
+    return packed.groupBy("sequence_id").agg(F.sum("length").alias("length"), parts.alias("p")).select("sequence_id", "length", F.aggregate("p.ids", F.unhex(F.lit("")), lambda a, x: F.concat(a, x)).alias("ids"), F.col("p.doc_id").alias("doc_ids"))

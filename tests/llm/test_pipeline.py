@@ -64,7 +64,7 @@ def test_stages(spark, tables, tmp_path):
     t = Tokenizer.from_file(corpus_pipeline.public_tokenizers.path("byte_bpe_50k.json"))
     pieces: dict[int, list] = {}
     for r in sorted(seen[4], key=lambda r: (r.doc_id, r.piece)):
-        pieces.setdefault(r.doc_id, []).extend(r.ids)
+        pieces.setdefault(r.doc_id, []).extend(int.from_bytes(r.ids[i : i + 4], "little") for i in range(0, len(r.ids), 4))
     clean = {r.doc_id: r.text for r in seen[3]}
     assert pieces == {i: [*t.encode(x or "", add_special_tokens=False).ids, 2] for i, x in clean.items()}
 
