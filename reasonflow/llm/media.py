@@ -101,7 +101,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Media on their way to the list of their shared chunks."""
     import zstandard
 
-    packer = zstandard.ZstdCompressor(level=6)
+    packer = zstandard.ZstdCompressor(level=LEVEL)
     for whole in batches:
         for batch in steps(whole, "text"):
             packed = [packer.compress(w) for w in _wavs(batch)]
@@ -139,7 +139,7 @@ STORED = {
 }
 STORED_DDL = "doc_id long, n_bytes long, k long, list array<binary>, places binary, whole binary, own binary, sizes array<int>, digest binary, chunk binary"
 MEDIUM = ["doc_id", "n_bytes", "k", "list", "places", "whole", "own", "sizes"]
-SLICE = 200
+SLICE, LEVEL = 200, 15
 
 
 def _stored(**columns: list) -> pa.RecordBatch:
@@ -151,7 +151,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of media, without the bytes of their shared chunks, and rows of the store, which have a digest."""
     import zstandard
 
-    packer, unpacker = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
+    packer, unpacker = zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
     last, given = None, set()  # repeated rows have one key and follow each other: their chunks are given out once
     for batch in batches:
         for lo in range(0, batch.num_rows, SLICE):
@@ -201,7 +201,7 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts = [chunks[d] for d in x["list"]]
                 if digest(b"".join(parts)) != x["whole"]:
                     raise ValueError("a rebuilt medium doesn't match its digest")
-                told.add(parts, x["places"].count(BORROWED))
+                told.add(parts, len(parts) - x["places"].count(OWN))
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows], pa.int64()) for c in ("doc_id", "n_bytes")] + told.arrays(), names=["doc_id", "n_bytes", *_Described.NAMES])
 
 
@@ -231,7 +231,9 @@ def read_media(media: DataFrame, store: DataFrame) -> DataFrame:
     waits = rows.where("NOT alone").drop("alone")
     elsewhere = F.filter("list", lambda _, i: F.substring("places", i + 1, F.lit(1)) != F.unhex(F.lit(f"0{OWN}")))
     wanted = waits.select("k", F.explode(elsewhere).alias("digest")).distinct()
-    fetched = wanted.join(store.dropDuplicates(["digest"]), "digest").groupBy("k").agg(F.collect_list(F.struct("digest", "chunk")).alias("fetched"))
+    # both sides of the join are dealt for it alone, so Spark can split a chunk that very many media share; a set, as
+    # the rows of one key may be split too when they are stored, and each part then gives its chunks out
+    fetched = wanted.join(store.hint("merge"), "digest").groupBy("k").agg(F.collect_set(F.struct("digest", "chunk")).alias("fetched"))
     late = waits.join(fetched, "k", "left").select(*MEDIUM, "fetched").mapInArrow(_rebuild, ddl)
     none = F.lit(None).cast("array<struct<digest:binary,chunk:binary>>").alias("fetched")
     return rows.where("alone").select(*MEDIUM, none).mapInArrow(_rebuild, ddl).unionByName(late)
@@ -241,9 +243,9 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Stores every text of ``docs`` as a medium, reads all back and describes what was read.
 
     Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature, n_chunks and n_shared (chunks read from another medium).  A null
-    or empty text has a payload of spaces; repeated rows are media of their own; a null
-    id stays null; an empty table gives an empty result.
+    media_sha256, feature, n_chunks and n_shared (chunks that another medium has too, read from
+    the store).  Equal texts have equal values.  A null or empty text has a payload of spaces;
+    repeated rows are media of their own; a null id stays null; an empty table gives an empty result.
 
     Media move once, to meet the list of their shared chunks; those that have any
     move a second time, to meet the chunks.

@@ -324,8 +324,9 @@ def _run(path: str):
 def encode_and_decode(docs: DataFrame, model: str) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the ids of the text and what they decode to.
 
-    A null text counts as empty and has no ids.  ``lossless``: decoding gives the text's
-    bytes back; it does not where the text has the space sign itself.
+    A null text counts as empty and has no ids; a null id stays null; repeated rows get equal
+    results; an empty table gives an empty one.  ``lossless``: decoding gives the text's bytes
+    back; it does not where the text has the space sign itself.
     """
     out = "doc_id long, n_ids long, ids_crc32 long, ids array<int>, decoded_sha256 string, lossless boolean"
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_run(model), out)

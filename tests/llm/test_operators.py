@@ -238,6 +238,10 @@ def test_media_round_trip(docs, rows, empty):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert (r.media_bytes, r.media_sha256) == (len(payload) + 44, hashlib.sha256(media.to_wav(payload)).hexdigest())
+    same: dict[str, set] = {}
+    for i, t in rows:
+        same.setdefault(t or "", set()).add(tuple(got[i])[1:])
+    assert all(len(x) == 1 for x in same.values())
     assert got[9].feature == got[168].feature and got[168].n_shared + got[9].n_shared + got[171].n_shared > 0
     assert media.media_columns(empty).count() == 0
 
