@@ -136,3 +136,8 @@ def test_small_forms(spark):
     assert apply(spark, lambda x: A.run_answer(x, "cot"), ["so \\boxed{2}", "error", "", None]) == ["2", None, None, None]
     assert apply(spark, lambda x: A.run_answer(x, "program_only"), ["```output\n7.\n```"]) == ["7"]
     assert apply(spark, lambda x: K.preview(x, 3), ["abcd", "abc"]) == ["abc...", "abc"]
+
+
+def test_names_and_sizes_in_expressions():
+    for a, b, same in (("\\alpha", "n", False), ("x_{12}", "x_{21}", False), ("2\\alpha+1", "2n+1", False), ("x+y=1", "1=y+x", True), ("a=b", "c=d", False), ("\\binom{5}{2}", "10", True), ("\\binom{10^8}{5\\cdot 10^7}", "3", False), ("x" * 30_000, "y" * 30_000, False)):
+        assert E.equal(a, b) is same

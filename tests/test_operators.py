@@ -196,3 +196,39 @@ def test_names_and_reports(spark, tmp_path):
     (tmp_path / "sim.csv").write_text("problem_id,original_vs_simple_ged,original_vs_hard_ged\n1,0.0,\n2,x,3\n")
     low = select.low_ged(records.read_similarity_csv(spark, str(tmp_path / "sim.csv"))).collect()
     assert [(r.problem_id, r.comparison, r.ged) for r in low] == [("1", "original_vs_simple", 0.0)]
+
+
+def test_ranks_and_medians_of_whole_tables(spark):
+    import random
+    import statistics
+
+    from reasonflow.operators import ranks
+
+    rng = random.Random(3)
+    for values in ([7.0], [1.0, 2.0], [rng.choice([0.0, 0.0, 1.0, rng.random()]) for _ in range(5001)], [float(i) for i in range(10_000)], [None, 3.0, None]):
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").repartition(5)
+        got = ranks.medians(df, "v", "i").first()
+        assert got.v == statistics.median([v for v in values if v is not None]) and got.i == (len(values) - 1) / 2
+        ranked = {r.i: (r._rn, r._n) for r in ranks.with_rank(df.where("v IS NOT NULL"), "v", "i").collect()}
+        order = sorted((v, i) for i, v in enumerate(values) if v is not None)
+        assert ranked == {i: (n + 1, len(order)) for n, (_, i) in enumerate(order)}
+    assert ranks.medians(spark.createDataFrame([], "v double"), "v").first().v is None
+    rows = spark.createDataFrame([(i, float(i % 50)) for i in range(200)], "problem_id long, ged double")
+    slices = select.percentile_slices(rows, "problem_id").collect()
+    assert sum(r.category == "low" for r in slices) == 20 == sum(r.category == "high" for r in slices)
+    assert {r.ged for r in slices if r.category == "low"} == {0.0, 1.0, 2.0, 3.0, 4.0}
+
+
+def test_strict_scans_reject_blank_lines(spark, tmp_path):
+    from reasonflow.sources import records
+
+    (tmp_path / "a.jsonl").write_text('{"x":1}\n\n{"x":2}\n')
+    assert records.read_jsonl(spark, str(tmp_path / "a.jsonl"), "x int").count() == 2
+    assert [r.x for r in records.read_jsonl(spark, str(tmp_path / "a.jsonl"), "x int", strict=False, position=True).orderBy("position").collect()] == [1, 2]
+    with pytest.raises(Exception, match="a blank line"):
+        records.read_jsonl(spark, str(tmp_path / "a.jsonl"), "x int", blank_lines=False).collect()
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "a.jsonl").write_text('{"k":1,"x":1}\n')
+    (tmp_path / "b" / "b.jsonl").write_text("".join(f'{{"k":1,"x":{i}}}\n' for i in range(2, 203)))
+    rows = records.read_jsonl(spark, str(tmp_path / "b"), "k int, x int", position=True)
+    assert records.last_per_key(rows, "k").first().x == 202 and records.first_per_key(rows, "k").first().x == 1
