@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import U64, grams, hash_words, mix, signed, sliding_argmin, spread, steps, utf8, words
-from .workspace import materialise
+from .workspace import discard, materialise
 
 SEED = 20
 BASES = (0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47)
@@ -138,10 +138,13 @@ def with_first_sights(docs: DataFrame, min_words: int = 50) -> DataFrame:
     told = plain.unionByName(varied).mapInArrow(_label("label", "anchor", "content"), "doc_id long, varied boolean, label long")
     by_doc = told.groupBy("doc_id").agg(F.collect_list(F.when(~F.col("varied"), F.col("label"))).alias(OWN), F.collect_list(F.when(F.col("varied"), F.col("label"))).alias(OPEN))
     by_doc = materialise(by_doc, "first-sights")
+    discard(classes)
+    discard(anchors)
     windows = known.join(by_doc.where(f"size({OPEN}) > 0").select("doc_id", OPEN), "doc_id").select("doc_id", "text", OPEN).mapInArrow(_single_windows(min_words), "w1 long, w2 long, doc_id long")
     firsts = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("doc_id")).mapInArrow(_label("label", "w1", "w2"), "doc_id long, label long")
     firsts = firsts.groupBy("doc_id").agg(F.collect_list("label").alias(WINDOWS))
     lists = materialise(by_doc.join(firsts, "doc_id", "left").withColumnRenamed("doc_id", "__rf_id"), "told")
+    discard(by_doc)
     return docs.join(lists, F.col("doc_id").cast("long") == F.col("__rf_id"), "left").drop("__rf_id")
 
 
