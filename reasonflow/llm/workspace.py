@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.shared import new_path, shared_dir
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` once and returns a reader of what was written."""
+def materialise(df: DataFrame, name: str, level: int = 3) -> DataFrame:
+    """Writes ``df`` once, its pages compressed at ``level``, and returns a reader of what was written."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rf_path = path
     return out
