@@ -85,9 +85,9 @@ def benchmark_truths(spark: SparkSession, d: str) -> DataFrame:
     found = {
         "gsm8k": A.truth_of(s(answer=_cat("because #### ", u)), "gsm8k"), "gsm-hard": A.truth_of(s(code="code", target=F.col("user_id")), "gsm-hard"), "svamp": A.truth_of(s(Equation="1 + 2", Answer=F.col("user_id")), "svamp"),
         "asdiv": A.truth_of(s(formula="1+2=3", answer=_cat(u, " (apples)")), "asdiv"), "mawps": A.truth_of(s(target=F.col("user_id")), "mawps"), "math": A.truth_of(s(solution=_cat("so \\boxed{", u, "}")), "math"),
-        "comma": tab(_cat("1,", F.lpad(F.lit(0).cast("string"), 3, "0"), ",", F.lpad(u, 3, "0")), "integer_number"), "percent": tab(F.lit("50%"), "decimal_number"), "text": tab(_cat("yes ", u), "extractive_text"),
+        "comma": tab(F.format_number(F.col("user_id") + 1000000, 0), "integer_number"), "percent": tab(F.lit("50%"), "decimal_number"), "text": tab(_cat("yes ", u), "extractive_text"),
     }
-    long = F.array(*[F.struct(F.lit(k).alias("dataset"), v["reasoning"].alias("reasoning"), F.regexp_replace(F.regexp_replace(v["answer"], r"^1\.0+(\d+)E6$", "1$1"), r"^x$", "x").alias("answer")) for k, v in found.items()])
+    long = F.array(*[F.struct(F.lit(k).alias("dataset"), v["reasoning"].alias("reasoning"), v["answer"].alias("answer")) for k, v in found.items()])
     return rows.select("event_id", F.inline(long))
 
 

@@ -173,6 +173,12 @@ def program(text: Column, last_only: bool = True) -> Column:
     return F.aggregate(F.split(text, "\n", -1), start, step)["out"]
 
 
+def _plain(x: Column) -> Column:
+    """A double's digits without an exponent from 1e-4 up to 1e16, as Python writes them."""
+    digits = x.cast("string").try_cast("decimal(38,21)").cast("string")
+    return F.when((F.abs(x) >= 1e-4) & (F.abs(x) < 1e16), F.regexp_replace(digits, r"(\.\d+?)0+$", "$1")).otherwise(x.cast("string"))
+
+
 def truth_of(e: Column, dataset: str) -> Column:
     """struct(reasoning, answer) of a benchmark's example, by its own fields."""
     if dataset in ("math", "ocw"):
@@ -190,7 +196,7 @@ def truth_of(e: Column, dataset: str) -> Column:
     elif dataset == "tabmwp":
         a = e["answer"]
         number = F.when(a.contains("/"), _before(a, "/").try_cast("int") / F.get(F.split(a, "/"), F.lit(1)).try_cast("int")).when(a.contains(","), F.replace(a, F.lit(","), F.lit("")).try_cast("double")).when(a.contains("%"), _before(a, "%").try_cast("double") / 100).otherwise(a.try_cast("double"))
-        how, what = e["solution"], F.when(e["ans_type"].isin("integer_number", "decimal_number"), number.cast("string")).otherwise(a)
+        how, what = e["solution"], F.when(e["ans_type"].isin("integer_number", "decimal_number"), _let(number, _plain)).otherwise(a)
     else:
         raise NotImplementedError(dataset)
     return F.struct(strip(how).alias("reasoning"), strip_string(what).alias("answer"))

@@ -141,3 +141,8 @@ def test_small_forms(spark):
 def test_names_and_sizes_in_expressions():
     for a, b, same in (("\\alpha", "n", False), ("x_{12}", "x_{21}", False), ("2\\alpha+1", "2n+1", False), ("x+y=1", "1=y+x", True), ("a=b", "c=d", False), ("\\binom{5}{2}", "10", True), ("\\binom{10^8}{5\\cdot 10^7}", "3", False), ("x" * 30_000, "y" * 30_000, False)):
         assert E.equal(a, b) is same
+
+
+def test_numbers_of_truths_have_no_exponent(spark):
+    truth = lambda x: A.truth_of(F.struct(F.lit("how").alias("solution"), x.alias("answer"), F.lit("decimal_number").alias("ans_type")), "tabmwp")["answer"]
+    assert apply(spark, truth, ["12,345,678", "1,234,567,890.25", "0.0005", "-20,000,000", "1/4", "50%", "7", "0.1"]) == ["12345678", "1234567890.25", "0.0005", "-20000000", "0.25", "0.5", "7", "0.1"]

@@ -69,3 +69,10 @@ def test_long_chains_have_their_depth(spark, tmp_path):
     edges = [(g, str(i), str((i + 1) % n)) for g, n in ((1, 4), (2, 40)) for i in range(n)]
     cyclic = dags.longest_paths(spark.createDataFrame(nodes, schema[0]), spark.createDataFrame(edges, schema[1]), "g").collect()
     assert {(r.g, r.depth, r.width) for r in cyclic} == {(1, 0, 0), (2, 0, 0)}
+
+
+def test_truths_of_large_ids(spark, tmp_path):
+    ids = [0, 7, 999, 1000, 1499, 120000, 8999999, 9000000, 123456789]
+    spark.createDataFrame(list(enumerate(ids)), "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    got = {ids[r.event_id]: r.answer for r in QUERIES["benchmark_truths"](spark, str(tmp_path)).collect() if r.dataset == "comma"}
+    assert got == {u: str(1000000 + u) for u in ids}
