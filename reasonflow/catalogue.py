@@ -80,7 +80,7 @@ def metrics_by_variant(spark: SparkSession, d: str) -> DataFrame:
 def metrics_delta(spark: SparkSession, d: str) -> DataFrame:
     a = D.attempts(spark, d)
     out = metrics.delta(metrics.accuracy(a.where("l_partkey % 2 = 1")), metrics.accuracy(a.where("l_partkey % 2 = 0")))
-    return out.withColumns({c: F.round(c, 9) for c in out.columns if c.endswith("_delta")})
+    return out.withColumns({c: D.rounded(F.col(c), 9) for c in out.columns if c.endswith("_delta")})
 
 
 @query(
@@ -439,7 +439,7 @@ def dag_compress(spark: SparkSession, d: str) -> DataFrame:
 def compression_effect(spark: SparkSession, d: str) -> DataFrame:
     c = D.table(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("ratio"), (F.col("l_linenumber") - 1).cast("bigint").alias("absorbed"), F.col("l_discount").alias("before"), F.col("l_tax").alias("after"))
     out = metrics.compression_effect(c)
-    return out.withColumns({n: F.round(n, 9) for n in ("ratio_mean", "ratio_stdev", "absorbed_mean", "change_mean", "change_median")})
+    return out.withColumns({n: D.rounded(F.col(n), 9) for n in ("ratio_mean", "ratio_stdev", "absorbed_mean", "change_mean", "change_median")})
 
 
 @query(
@@ -506,7 +506,7 @@ def ged_lower_bound(spark: SparkSession, d: str) -> DataFrame:
 def feature_cosine(spark: SparkSession, d: str) -> DataFrame:
     rows = D.dag_pairs(spark, d).withColumn("x", dags.depth_width(F.col("a"))).withColumn("y", dags.depth_width(F.col("b")))
     f = lambda g, w: dags.feature_vector(F.col(g), F.col(f"{w}.depth"), F.col(f"{w}.width"))
-    return rows.select("conv_id", f("a", "x").alias("f"), f("b", "y").alias("g")).select("conv_id", F.round(dags.cosine(F.col("f"), F.col("g")), 6).alias("cosine"))
+    return rows.select("conv_id", f("a", "x").alias("f"), f("b", "y").alias("g")).select("conv_id", D.rounded(dags.cosine(F.col("f"), F.col("g")), 6).alias("cosine"))
 
 
 @query(
@@ -521,7 +521,7 @@ def feature_cosine(spark: SparkSession, d: str) -> DataFrame:
 def stability_summary(spark: SparkSession, d: str) -> DataFrame:
     a = D.attempts(spark, d).where("variant = 'hard'").withColumn("v", F.when(~F.col("timed_out"), F.col("ged")))
     pairs = metrics.iteration_pairs(a, value="v").withColumn("similarity", 1 - F.abs(F.col("a") - F.col("b")) / 100)
-    return metrics.stability(pairs).withColumns({c: F.round(c, 9) for c in ("mean", "median", "stdev", "min", "max")})
+    return metrics.stability(pairs).withColumns({c: D.rounded(F.col(c), 9) for c in ("mean", "median", "stdev", "min", "max")})
 
 
 @query(
@@ -632,13 +632,13 @@ HIDDEN = ", ".join(f"greatest(0.0, {_sum64(r)} + 0.1) AS h{i}" for i, r in enume
 
 @query(f"WITH h AS (SELECT vec_id, {HIDDEN} FROM embeddings) SELECT vec_id, round(1 / (1 + exp(-(h0 * 1.0 + h1 * -1.0 + h2 * 0.5 + h3 * 0.25 - 0.2))), 6) AS alpha FROM h")
 def router_score(spark: SparkSession, d: str) -> DataFrame:
-    return D.table(spark, d, "embeddings").select("vec_id", F.round(model.router_score(F.col("embedding"), W1, [0.1] * 4, [1.0, -1.0, 0.5, 0.25], -0.2), 6).alias("alpha"))
+    return D.table(spark, d, "embeddings").select("vec_id", D.rounded(model.router_score(F.col("embedding"), W1, [0.1] * 4, [1.0, -1.0, 0.5, 0.25], -0.2), 6).alias("alpha"))
 
 
 @query("SELECT vec_id, list_transform(range(1, 65), lambda i: round((1 - label / 10.0::DOUBLE) * embedding[i]::DOUBLE + label / 10.0::DOUBLE * embedding[65 - i]::DOUBLE, 6)) AS prefix FROM embeddings")
 def prefix_mix(spark: SparkSession, d: str) -> DataFrame:
     mixed = model.mixed_prefix(F.col("label") / 10.0, F.col("embedding"), F.reverse("embedding"))
-    return D.table(spark, d, "embeddings").select("vec_id", F.transform(mixed, lambda x: F.round(x, 6)).alias("prefix"))
+    return D.table(spark, d, "embeddings").select("vec_id", F.transform(mixed, lambda x: D.rounded(x, 6)).alias("prefix"))
 
 
 @query(
@@ -648,7 +648,7 @@ def prefix_mix(spark: SparkSession, d: str) -> DataFrame:
 )
 def alpha_gap(spark: SparkSession, d: str) -> DataFrame:
     out = metrics.alpha_gap(D.table(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("alpha"), F.when(F.col("l_returnflag") == "A", 0.0).otherwise(1.0).alias("target")))
-    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+    return out.select(*[D.rounded(F.col(c), 9).alias(c) for c in out.columns])
 
 
 @query(
@@ -659,7 +659,7 @@ def alpha_gap(spark: SparkSession, d: str) -> DataFrame:
 def router_loss(spark: SparkSession, d: str) -> DataFrame:
     rows = D.table(spark, d, "lineitem").select((F.col("l_quantity") / 50).alias("alpha"), F.when(F.col("l_returnflag") == "A", 0.0).otherwise(1.0).alias("target"), F.col("l_tax").alias("lm_loss"))
     out = model.training_loss(rows)
-    return out.select(*[F.round(c, 9).alias(c) for c in out.columns])
+    return out.select(*[D.rounded(F.col(c), 9).alias(c) for c in out.columns])
 
 
 @query("""SELECT run_id::INTEGER AS run_id, w AS weight, p AS prefix FROM (SELECT row_number() OVER (ORDER BY w, p) - 1 AS run_id, w, p FROM (VALUES (0.1::DOUBLE), (0.5), (1.0), (1.5), (2.0)) a(w), (VALUES (5.0::DOUBLE), (20.0), (50.0), (100.0)) b(p))""")

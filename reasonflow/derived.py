@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import keys as K
@@ -44,6 +44,12 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def rounded(x: Column, places: int) -> Column:
+    """As SQL rounds doubles: the product with a power of ten, half away from zero.  ``F.round`` rounds the decimal text of a double instead."""
+    y = x * 10.0**places
+    return F.signum(y) * F.round(F.abs(y)) / 10.0**places
+
+
 def attempts(spark: SparkSession, d: str) -> DataFrame:
     """Lines as attempts: an order is a problem, its return flag the variant."""
     flag = F.col("l_returnflag")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import html
 
+import duckdb
 from pyspark.sql import functions as F
 
 from reasonflow import derived
-from reasonflow.registry import QUERIES
+from reasonflow.registry import ORACLES, QUERIES
 from reasonflow.operators import dags
 
 
@@ -76,3 +77,13 @@ def test_truths_of_large_ids(spark, tmp_path):
     spark.createDataFrame(list(enumerate(ids)), "event_id long, user_id long").write.parquet(f"{tmp_path}/events.parquet")
     got = {ids[r.event_id]: r.answer for r in QUERIES["benchmark_truths"](spark, str(tmp_path)).collect() if r.dataset == "comma"}
     assert got == {u: str(1000000 + u) for u in ids}
+
+
+def test_prefixes_round_as_their_sql_does(spark, tmp_path):
+    rows = [(i, 3, [s * x] + [0.0] * 63) for i, (s, x) in enumerate((s, x) for x in (1.453125, 2.984375, 5.734375, 1e-7, 0.0078125) for s in (1, -1))]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: r.prefix for r in QUERIES["prefix_mix"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = dict(con.execute(ORACLES["prefix_mix"]).fetchall())
+    assert got[0][0] == 1.017187 and str(sorted(got.items())) == str(sorted(want.items()))  # as text, so that the signs of zeros count
