@@ -97,17 +97,30 @@ def tail(predictions: Column, answers: Column) -> Column:
     return F.when(m == 0, predictions).otherwise(F.slice(predictions, F.greatest(F.lit(1), n - m + 1), F.greatest(m, F.lit(1))))
 
 
-def lists_match(predictions: Column, answers: Column) -> Column:
-    """Kernel verdict on lists of predictions and answers; what it can't handle is false."""
-    return F.pandas_udf(_lists_match, "boolean")(predictions, answers)
+def lists_match(predictions: Column, answers: Column, in_order: bool = False) -> Column:
+    """Kernel verdict on lists of predictions and answers; what it can't handle is false.
+
+    Equal pairs that follow each other are checked once.  ``in_order``: Spark keeps the order of rows for
+    that, as it drops a sort before functions that it takes to be deterministic.
+    """
+    kernel = F.pandas_udf(_lists_match, "boolean")
+    return (kernel.asNondeterministic() if in_order else kernel)(predictions, answers)
 
 
 def _lists_match(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    last, same = None, None
     for predictions, answers in batches:
         out = []
         for p, a in zip(predictions, answers, strict=True):
-            try:
-                out.append(None if p is None or a is None else all_match(list(p), list(a)))
-            except (ValueError, ArithmeticError, RecursionError):
-                out.append(False)
+            if p is None or a is None:
+                out.append(None)
+                continue
+            pair = list(p), list(a)
+            if pair != last:
+                last = pair
+                try:
+                    same = all_match(*pair)
+                except (ValueError, ArithmeticError, RecursionError):
+                    same = False
+            out.append(same)
         yield pd.Series(out, dtype="boolean")
