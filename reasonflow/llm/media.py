@@ -224,12 +224,12 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the key only has to be the same each time and spread well: what meets by chance does no harm, as digests decide
     docs = docs.withColumn("k", F.xxhash64("doc_id", "text"))
     chunks = chunk_digests(docs)
-    shared = materialise(chunks.groupBy("digest").agg(F.min("k").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner"), "shared-chunks")
+    shared = materialise(chunks.groupBy("digest").agg(F.min("k").alias("owner"), F.count("*").alias("n")).where("n > 1").select("digest", "owner"), "shared-chunks", tidy=True)
     held = chunks.join(shared.hint("merge"), "digest").select("k", "digest", F.when(F.col("k") == F.col("owner"), F.col("digest")).alias("lent"))
     links = held.groupBy("k").agg(F.collect_set("digest").alias("shared"), F.collect_set("lent").alias("lent"))  # a medium's own chunks at most
     packed = docs.mapInArrow(_pack, "doc_id long, k long, n_bytes long, packed binary")
     split = packed.join(links.hint("merge"), "k", "left").select("doc_id", "k", "n_bytes", "packed", "shared", "lent").mapInArrow(_split, STORED_DDL)
-    written = materialise(split, "media-chunks", level=PAGES)
+    written = materialise(split, "media-chunks", level=PAGES, tidy=True)
     return written.where("digest IS NULL").select(MEDIUM), written.where("digest IS NOT NULL").select("digest", "chunk")
 
 

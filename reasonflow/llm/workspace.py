@@ -10,11 +10,22 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.shared import new_path, shared_dir
 
 
-def materialise(df: DataFrame, name: str, level: int = 3) -> DataFrame:
-    """Writes ``df`` once, its pages compressed at ``level``, and returns a reader of what was written."""
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def materialise(df: DataFrame, name: str, level: int = 3, tidy: bool = False) -> DataFrame:
+    """Writes ``df`` once, its pages compressed at ``level``, and returns a reader of what was written.
+
+    ``tidy``: what was shuffled for it is deleted as soon as it is written, not when the driver next collects garbage.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, str(tidy or before == "true").lower())
+    try:
+        df.write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", level).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out._rf_path = path
     return out

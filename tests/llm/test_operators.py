@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import pathlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -13,7 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers as P
-from reasonflow.llm import fingerprints, langid, media, neardup, packing, quality, secrets, sentencepieces, substring, tokenbin
+from reasonflow.llm import fingerprints, langid, media, neardup, packing, quality, secrets, sentencepieces, substring, tokenbin, workspace
 from reasonflow.llm.kernels import utf8
 from reasonflow.llm.tokens import PieceEncoder
 
@@ -272,6 +274,20 @@ def test_media_are_rebuilt_from_chunks_stored_once(docs, rows):
         media.read_media(stored.withColumn("whole", F.lit(b"x")), store).collect()
 
 
+def test_stored_media_leave_no_shuffled_files(spark, rows):
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    folders = [str(f) for f in spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().localDirs()]
+    files = lambda: {f.name for d in folders for f in pathlib.Path(d).rglob("shuffle_*")}
+    before, setting = files(), spark.conf.get(workspace.CLEANUP, "false")
+    stored, store = media.store_media(texts)
+    for _ in range(100):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(workspace.CLEANUP, "false") == setting
+    assert stored.count() == len(rows) and store.count() > 0
+
+
 def test_cuts_follow_content():
     rng = np.random.default_rng(1)
     body = rng.integers(0, 256, 60_000, dtype=np.uint8).tobytes()
